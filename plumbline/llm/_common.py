@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.plans.shared import shared_dir, written  # noqa: F401
+
 #: A word, in Java's and Python's syntax; bytes.split() finds the same words in UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What stands between words.
@@ -21,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-        named = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_checked(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """A join that broadcasts `small` only after its rows were counted; beyond SMALL_ROWS it is shuffled."""
     n = small.count() if rows is None else rows

@@ -4,8 +4,9 @@ Each source gets a target of words: its weight's share of the budget, but never
 size; what a capped source leaves is shared out again by weight. A source is then taken floor(target / size)
 whole times, and the rest of its target comes from the documents whose hash lies below a threshold. The
 threshold is found without sorting documents: sum words by source and hash bucket, locate the bucket in which
-the running sum passes the rest, and refine that bucket alone. Thresholds are nested: a larger budget takes
-every document that a smaller one takes.
+the running sum passes the rest, and refine that bucket alone. Thresholds are nested: of two budgets with the
+same whole part, the larger one's threshold takes every document that the smaller one's takes. Beyond the
+threshold, one more document a source may go in, the one nearest in size to what is still missing.
 
 Nulls: a null text has no words; null sources form one source, last in order; a null doc_id is hashed as null.
 Repeated rows with the same doc_id and text share one decision. An empty table gives an empty result, and
@@ -75,13 +76,16 @@ def mix(docs: DataFrame, weights: list[float], most: float = 3.0, share: float =
         # the bucket that holds the crossing: the last one that starts at or below the rest
         crossing = _beside(sums, state.select("source", "rest"), sources).where(F.col("before") <= F.col("rest"))
         cut = crossing.groupBy("source").agg(F.max_by(F.struct("bucket", "before", "words"), "bucket").alias("x")).select("source", "x.*")
-        state = _beside(state.drop("prefix", "words"), cut, sources).withColumn("rest", F.col("rest") - F.col("before"))
-        state = written(state.withColumnRenamed("bucket", "prefix").drop("before"), "mix-state")
-    # the last bucket goes in if that brings the sum nearer to the target
-    whole = F.when(F.col("words") - F.col("rest") < F.col("rest"), 1).otherwise(0)
-    state = state.select("source", "source_size", "target", "base", (F.col("prefix") + whole).alias("threshold"))
-    extra = F.when(F.shiftrightunsigned("hash", 64 - BITS * ROUNDS) < F.col("threshold"), 1).otherwise(0)
-    extra = F.when(F.col("base") >= most, 0).otherwise(extra)
+        state = _beside(state.drop("prefix"), cut, sources).withColumn("rest", F.col("rest") - F.col("before"))
+        state = written(state.withColumnRenamed("bucket", "prefix").drop("before", "words"), "mix-state")
+    state = state.select("source", "source_size", "target", "base", "rest", F.col("prefix").alias("threshold"))
+    chosen = F.when(F.col("base") >= most, False).otherwise(F.shiftrightunsigned("hash", 64 - BITS * ROUNDS) < F.col("threshold"))
+    # what is still missing lies below one document of the last bucket: the document nearest to it in size goes in
+    gap = F.abs(F.col("size") - F.col("rest"))
+    near = _beside(slim, state, sources).where(~chosen & (F.col("base") < most) & (gap < F.col("rest")))
+    near = near.groupBy("source").agg(F.min_by("hash", F.struct(gap, "hash")).alias("filler"))
+    state = written(state.withColumnRenamed("source", "of").join(near, F.col("of").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("of", "source"), "mix-state")
+    extra = F.when(chosen | F.coalesce(F.col("hash") == F.col("filler"), F.lit(False)), 1).otherwise(0)
     return (
         _beside(slim, state, sources)
         .withColumn("copies", (F.col("base") + extra).cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "packing"]
+MODULES = ["mixing", "packing", "simhash"]
 
 
 def _all(what: str) -> dict:
