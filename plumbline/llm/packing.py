@@ -9,8 +9,8 @@ sequences whose lengths are powers of two, which need no padding.
 
 Documents are dealt to groups of bounded bytes and rows by a hash of doc_id, and a group is packed in one
 task. The result depends on the table alone, not on its files. Words between ASCII white space are
-tokenised independently of each other by the tokenizer used, so a worker keeps the ids of words that it has
-seen (a bounded cache, never the result of dropping words).
+tokenised independently of each other by the tokenizer used, so a worker process keeps the ids of the words
+that it has seen, up to CACHE_WORDS of at most CACHE_BYTES; beyond that it starts anew and looks words up again.
 
 Nulls: a null text is empty and gives its end id alone; rows with a null doc_id are packed like others, and
 repeated rows stay separate. An empty table gives no pieces. Other columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from ._common import table
 
 LIMIT_TOKENS, LIMIT_SEGMENTS = 4096, 64
 GROUP_BYTES, GROUP_ROWS = 8 << 20, 10_000
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_BYTES, CHUNK_DOCS = 900_000, 64, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -104,7 +105,7 @@ class WordTokenizer:
         self.seen: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: list[bytes]) -> None:
         marked = [w for w in words if self.MARK.encode() in w]
@@ -119,14 +120,29 @@ class WordTokenizer:
             for w, a, b in zip(part, [0, *(x + 1 for x in at)], [*at, len(ids)], strict=True):
                 self.seen[w] = raw[4 * a : 4 * b]
 
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        if new := set(words).difference(self.seen):
-            if len(self.seen) + len(new) > CACHE_WORDS:
-                self.seen.clear()
-                new = set(words)
-            self.learn(list(new))
-        return b"".join(map(self.seen.__getitem__, words)) + self.end
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        for k in range(0, len(texts), CHUNK_DOCS):
+            words = [(x or "").encode().split() for x in texts[k : k + CHUNK_DOCS]]
+            new = set(chain.from_iterable(words)).difference(self.seen)
+            if new:
+                if len(self.seen) + len(new) > CACHE_WORDS:
+                    self.seen.clear()
+                    new = set(chain.from_iterable(words))
+                self.learn(list(new))
+            for w in words:
+                yield b"".join(map(self.seen.__getitem__, w)) + self.end
+            for w in new:
+                if len(w) > CACHE_BYTES:
+                    del self.seen[w]
+
+    #: One for each worker process, kept from task to task.
+    made: dict[tuple[str, int], WordTokenizer] = {}
+
+    @classmethod
+    def of(cls, path: str, end: int) -> WordTokenizer:
+        if (path, end) not in cls.made:
+            cls.made[path, end] = cls(path, end)
+        return cls.made[path, end]
 
 
 def _pack_group(group: int, docs: list[tuple], limits: tuple[int, int, int]) -> pa.RecordBatch:
@@ -172,12 +188,11 @@ def pack(docs: DataFrame, tokenizer: str, end: int, limits: tuple[int, int, int]
     groups = max(1, -(-size["bytes"] // GROUP_BYTES), -(-size["rows"] // GROUP_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, by_group = WordTokenizer(tokenizer, end), {}
+        coder, by_group = WordTokenizer.of(tokenizer, end), {}
         for batch in batches:
-            for doc_id, text, share, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = coder.encode(text)
+            doc_ids, texts, shares, groups = (c.to_pylist() for c in batch.columns)
+            for doc_id, ids, share, group in zip(doc_ids, coder.encode(texts), shares, groups, strict=True):
                 by_group.setdefault(group, []).append((doc_id, ids, int(len(ids) // 4 * min(1.0, max(0.0, share)))))
-        coder.seen.clear()
         for group in sorted(by_group):
             yield _pack_group(group, by_group.pop(group), limits)
 
