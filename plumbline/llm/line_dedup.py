@@ -21,9 +21,10 @@ through, except n_lines and n_removed, which are replaced.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import table, word_array, written
+from ._common import GAP, table, written
 
 MIN_WORDS = 5
 #: Lengths of the ends that are compared: 2, 3, 4, 6, 8, 12, ...; line lengths are below 2 ** 31.
@@ -43,33 +44,48 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, at, words for each line."""
-    lines = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    return lines.select("doc_id", "at", word_array(F.col("line")).alias("words"))
+def _plain(line: Column) -> Column:
+    """A line's words, joined by one space."""
+    return F.trim(F.regexp_replace(line, GAP, " "))
 
 
-def _without(words: Column, j: Column) -> Column:
-    return F.concat(F.slice(words, 1, j), F.slice(words, j + 2, F.size(words)))
+def _ends(plain: Column, n: Column) -> Column:
+    """Hashes of a line's first and last words, as many as fit twice into it, and into it less one word."""
+    p, q = _end(n), _end(n - 1)
+    cut = lambda k: F.call_function("substring_index", plain, F.lit(" "), k)
+    pair = lambda k: F.array(F.xxhash64(F.lit(0), k, cut(k)), F.xxhash64(F.lit(1), k, cut(-k)))
+    return F.when(p == q, pair(p)).otherwise(F.concat(pair(p), pair(q)))
+
+
+def variants(found: DataFrame) -> DataFrame:
+    """place, out, variant: each line's hash (out -1), and the hashes of its words without the one at `out`.
+
+    A hash joins those of the words and their places by exclusive or, so one pass over a line gives them all.
+    """
+    word = found.select(F.struct("doc_id", "at").alias("place"), F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    word = word.select("place", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("left"))
+    line = W.partitionBy("place")
+    so_far = line.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    before = F.bit_xor("here").over(so_far).bitwiseXOR(F.col("here"))
+    after = F.bit_xor("left").over(line).bitwiseXOR(F.bit_xor("left").over(so_far))
+    each = F.struct(F.col("i").alias("out"), F.xxhash64(F.col("n") - 1, before.bitwiseXOR(after)).alias("variant"))
+    whole = F.struct(F.lit(-1).alias("out"), F.xxhash64(F.col("n"), F.bit_xor("here").over(line)).alias("variant"))
+    out = word.select("place", "i", each.alias("each"), whole.alias("whole"))
+    out = out.select("place", F.explode(F.when(F.col("i") == 0, F.array("whole", "each")).otherwise(F.array("each"))).alias("v"))
+    return out.select("place", "v.out", "v.variant")
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, at) of the lines that have an earlier line within one word edit."""
-    if min_words < 4:
-        raise ValueError("two ends of two words need at least four, and one word more for a partner")
-    w, n = F.col("words"), F.size("words")
-    ends = []
-    for length in (n, n - 1):
-        p = _end(length)
-        ends += [F.xxhash64(F.lit(0), p, F.slice(w, 1, p)), F.xxhash64(F.lit(1), p, F.slice(w, n - p + 1, p))]
-    slim = written(
-        lines_of(docs).where(n >= min_words).select(
-            "doc_id", "at", F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"), n.alias("n"), F.array_distinct(F.array(*ends)).alias("ends")
-        ),
-        "lines",
-    )
+    if min_words < 5:
+        raise ValueError("a line one word shorter must still have two ends of two words")
+    plain = F.posexplode(F.transform(_lines(F.col("text")), _plain)).alias("at", "plain")
+    n = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
+    slim = docs.select("doc_id", plain).withColumn("n", n).where(F.col("n") >= min_words)
+    h1, h2 = F.xxhash64("plain"), F.xxhash64(F.lit(7), "plain")
+    slim = written(slim.select("doc_id", "at", h1.alias("h1"), h2.alias("h2"), _ends(F.col("plain"), F.col("n")).alias("ends")), "lines")
     place = F.struct("doc_id", "at")
-    classes = written(slim.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("ends").alias("ends"), F.max(place).alias("last")), "line-classes")
+    classes = written(slim.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("ends").alias("ends")), "line-classes")
     shared = classes.select("h1", F.explode("ends").alias("end"))
     busy = shared.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("end")
     partners = shared.join(busy, "end", "left_semi").select("h1").distinct()
@@ -81,31 +97,28 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     beside = F.flatten(F.zip_with("wanted", before, lambda x, p: F.concat(F.array_repeat(F.try_element_at(nothing, F.lit(1)), x["at"] - p - 1), F.array(x))))
     beside = F.zip_with(_lines(F.col("text")), beside, lambda line, x: F.when(x.isNotNull(), F.struct(x.alias("x"), line.alias("line"))))
     found = found.select("doc_id", F.explode(F.filter(beside, lambda x: x.isNotNull())).alias("y"))
-    found = found.select("doc_id", "y.x.at", "y.x.id", word_array(F.col("y.line")).alias("words")).dropDuplicates(["doc_id", "at"])
+    found = found.select("doc_id", "y.x.at", "y.x.id", F.split(_plain(F.col("y.line")), " ").alias("words")).dropDuplicates(["doc_id", "at"])
     found = written(found, "line-partners")
 
-    j = F.sequence(F.lit(0), n - 1)
-    variants = F.concat(
-        F.array(F.struct(F.lit(-1).alias("out"), F.xxhash64(n, w).alias("variant"))),
-        F.transform(j, lambda k: F.struct(k.alias("out"), F.xxhash64(n - 1, _without(w, k)).alias("variant"))),
+    emitted = written(variants(found), "line-variants")
+    seen = emitted.groupBy("variant", "out").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    is_whole = F.col("out") < 0
+    busy = seen.groupBy("variant").agg(
+        F.min(F.when(is_whole, F.col("low"))).alias("short"), F.min(F.when(~is_whole, F.col("low"))).alias("long"), F.max(~is_whole & (F.col("low") < F.col("high"))).alias("replaced")
     )
-    emitted = found.select(place.alias("place"), F.explode(variants).alias("v")).select("place", "v.out", "v.variant")
-    seen = emitted.groupBy("variant", "out").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count(F.lit(1)).alias("members"))
-    seen = written(seen, "line-variants")
-    replaced = seen.where("out >= 0 and members > 1").select("variant", "out", "low")
-    whole = seen.where("out = -1").select("variant", F.col("low").alias("short"))
-    longer = seen.where("out >= 0").groupBy("variant").agg(F.min("low").alias("long"))
-    inserted = whole.join(longer, "variant")
+    busy = written(busy.where("replaced or (short is not null and long is not null)"), "line-busy")
+    emitted = written(emitted.join(busy.select("variant"), "variant", "left_semi"), "line-busy-variants")
+    replaced = emitted.where(~is_whole).groupBy("variant", "out").agg(F.min("place").alias("earlier"))
     found_pairs = (
-        emitted.join(replaced, ["variant", "out"]).where("low < place").select("place", F.col("low").alias("earlier"))
-        .union(inserted.where("long < short").select(F.col("short").alias("place"), F.col("long").alias("earlier")))
-        .union(emitted.where("out >= 0").join(inserted, "variant").where("short < place").select("place", F.col("short").alias("earlier")))
+        emitted.join(replaced, ["variant", "out"]).where("earlier < place").select("place", "earlier")
+        .union(busy.where("long < short").select(F.col("short").alias("place"), F.col("long").alias("earlier")))
+        .union(emitted.where(~is_whole).join(busy, "variant").where("short < place").select("place", F.col("short").alias("earlier")))
     )
     pairs = found_pairs.groupBy("place").agg(F.min("earlier").alias("earlier"))
     text = found.select(place.alias("is"), F.col("words").alias("of"), "id")
     pairs = pairs.join(text, F.col("place") == F.col("is")).select("id", "earlier", F.col("of").alias("mine"))
     pairs = pairs.join(text.drop("id"), F.col("earlier") == F.col("is")).select("id", "mine", F.col("of").alias("other"))
-    near = written(pairs.where(one_edit(F.col("mine"), F.col("other"))).select("id.h1", "id.h2").withColumn("near", F.lit(True)), "line-near")
+    near = written(pairs.where(one_edit(F.col("mine"), F.col("other"))).select("id.h1", "id.h2"), "line-near")
     again = classes.where("first < last").select("h1", "h2", "first")
     gone_again = slim.join(again, ["h1", "h2"]).where(F.col("first") < place).select("doc_id", "at")
     gone_near = classes.join(near, ["h1", "h2"], "left_semi").select("first.doc_id", "first.at")
