@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "packing", "simhash", "line_dedup", "toxicity"]
+MODULES = ["mixing", "packing", "simhash", "line_dedup", "toxicity", "quality", "ann"]
 
 
 def _all(what: str) -> dict:
