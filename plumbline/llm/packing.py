@@ -18,9 +18,9 @@ repeated rows stay separate. An empty table gives no pieces. Other columns are i
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,43 +31,46 @@ from ._common import table
 
 LIMIT_TOKENS, LIMIT_SEGMENTS = 4096, 64
 GROUP_BYTES, GROUP_ROWS = 8 << 20, 10_000
-CACHE_WORDS, CACHE_BYTES, CHUNK_DOCS = 900_000, 64, 64
+CACHE_WORDS, CACHE_BYTES, CHUNK_DOCS = 1_000_000, 64, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 def dot_product_pack(demand: np.ndarray, limits: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Bins of (item, from, length). demand: items x (tokens, segments, loss), tokens below the limit and loss at most tokens, spread evenly when an item is cut."""
-    left = np.array(demand, float)
-    share = left / limits
-    alive = left[:, 0] > 0
-    at = np.zeros(len(left), np.int64)
-    bins = []
-    n = int(alive.sum())
-    while n:
-        free, chosen = np.array(limits, float), []
-        while n and free[0] > 0 and free[1] >= 1:
-            score = share @ (free / limits)
-            score[~alive] = -1
-            fit = np.where((left <= free).all(1), score, -1)
-            i = int(fit.argmax())
-            if fit[i] >= 0:
-                take = int(left[i, 0])
+    """Bins of (item, from, length). demand: items x (tokens, segments, loss), tokens up to the limit and loss at most tokens, spread evenly when an item is cut."""
+    max_tokens, max_segments, max_loss = map(float, limits)
+    name = np.flatnonzero(demand[:, 0] > 0)
+    tokens, loss = demand[name, 0].astype(float), demand[name, 2].astype(float)
+    at = np.zeros(len(demand), np.int64)
+    bins, alive = [], len(name)
+    while alive:
+        if alive < len(name) // 2:  # items that are placed have no tokens left
+            kept = np.flatnonzero(tokens > 0)
+            name, tokens, loss = name[kept], tokens[kept], loss[kept]
+        free_tokens, free_loss, chosen = max_tokens, max_loss, []
+        while alive and free_tokens > 0 and len(chosen) + 1 <= max_segments:
+            # the segment's share is the same for all items that are left, so it doesn't change the order
+            score = tokens * (free_tokens / max_tokens**2) + loss * (free_loss / max_loss**2)
+            fit = (tokens <= free_tokens) & (loss <= free_loss)
+            i = int((score * fit).argmax())
+            if fit[i] and tokens[i] > 0:
+                take = int(tokens[i])
             else:  # nothing fits whole: cut the best one
                 i = int(score.argmax())
-                per = left[i, 2] / left[i, 0]
-                take = int(min(left[i, 0], free[0], free[2] // per if per > 0 else free[0]))
+                per = loss[i] / tokens[i]
+                take = int(min(tokens[i], free_tokens, free_loss // per if per > 0 else free_tokens))
                 if take < 1:
                     break
-            loss = left[i, 2] * take / left[i, 0]
-            chosen.append((i, int(at[i]), take))
-            at[i] += take
-            free -= (take, 1, loss)
-            left[i] -= (take, 0, loss)
-            share[i] = left[i] / limits
-            if left[i, 0] <= 0:
-                alive[i], n = False, n - 1
-                left[i, 1] = np.inf
-                share[i] = 0
+            used = loss[i] * take / tokens[i]
+            item = int(name[i])
+            chosen.append((item, int(at[item]), take))
+            at[item] += take
+            free_tokens -= take
+            free_loss -= used
+            tokens[i] -= take
+            loss[i] -= used
+            if tokens[i] <= 0:
+                tokens[i] = loss[i] = 0.0
+                alive -= 1
         if not chosen:
             raise ValueError("a token exceeds the limits of an empty sequence")
         bins.append(chosen)
@@ -92,45 +95,91 @@ def laid_out(chosen: list[tuple[int, int, int]], limit: int) -> Iterator[list[tu
 
 
 class WordTokenizer:
-    """Token ids, as little-endian 32-bit bytes, of whole texts, by way of the ids of their words."""
+    """Token ids, as little-endian 32-bit bytes, of whole texts, by way of the ids of their words.
 
-    MARK = "<|startoftext|>"
+    For vocabularies of lower-cased words with word-end tokens, whose pattern keeps runs of letters together.
+    """
+
+    #: Latin letters, then other ASCII signs that can't begin a contraction or a special token.
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{|}~]*)")
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tok = Tokenizer.from_file(path)
-        self.mark = self.tok.token_to_id(self.MARK)
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.end = np.array([end], "<u4").tobytes()
         self.seen: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.parts: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _ids(self, tok, text: str) -> np.ndarray:
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Runs of letters, in lower case: they need no normalising, and each ends in a token that ends a word."""
+        for k in range(0, len(parts), 4096):
+            part = parts[k : k + 4096]
+            ids = self._ids(self.plain, " ".join(part))
+            at = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            raw = ids.tobytes()
+            for w, a, b in zip(part, at[:-1], at[1:], strict=True):
+                self.parts[w] = raw[4 * a : 4 * b]
+
+    def _halves(self, x: str) -> tuple[str, str] | None:
+        """A word's letters in lower case, and the signs after them."""
+        if x.isascii():
+            if x.isalpha():
+                return x.lower(), ""
+            if x[-1] in ".,|" and x[:-1].isalpha():
+                return x[:-1].lower(), x[-1]
+        m = self.SIMPLE.fullmatch(x)
+        return m and (m[1].lower(), m[2])
 
     def learn(self, words: list[bytes]) -> None:
-        marked = [w for w in words if self.MARK.encode() in w]
-        for w in marked:
-            self.seen[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
-        plain = [w for w in words if self.MARK.encode() not in w] if marked else words
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = self._ids(f" {self.MARK} ".join(w.decode("utf-8", "replace") for w in part))
-            at = np.flatnonzero(ids == self.mark).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(part, [0, *(x + 1 for x in at)], [*at, len(ids)], strict=True):
-                self.seen[w] = raw[4 * a : 4 * b]
+        split = [self._halves(w.decode("utf-8", "replace")) for w in words]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        parts, tails, seen = self.parts, self.tails, self.seen
+        self._learn_parts(list({m[0] for m in split if m}.difference(parts)))
+        for w, m in zip(words, split, strict=True):
+            if not m:
+                seen[w] = self._ids(self.tok, w.decode("utf-8", "replace")).tobytes()
+            elif not m[1]:
+                seen[w] = parts[m[0]]
+            else:
+                tail = tails.get(m[1])
+                if tail is None:
+                    tail = self._ids(self.tok, m[1]).tobytes()
+                    if len(m[1]) < 4:
+                        tails[m[1]] = tail
+                seen[w] = parts[m[0]] + tail
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        get = self.seen.get
         for k in range(0, len(texts), CHUNK_DOCS):
             words = [(x or "").encode().split() for x in texts[k : k + CHUNK_DOCS]]
-            new = set(chain.from_iterable(words)).difference(self.seen)
-            if new:
-                if len(self.seen) + len(new) > CACHE_WORDS:
-                    self.seen.clear()
-                    new = set(chain.from_iterable(words))
-                self.learn(list(new))
-            for w in words:
-                yield b"".join(map(self.seen.__getitem__, w)) + self.end
+            ids = [list(map(get, w)) for w in words]
+            gaps, new = [], set()
+            for w, found in zip(words, ids, strict=True):
+                at, holes = -1, []
+                for _ in range(found.count(None)):
+                    holes.append(at := found.index(None, at + 1))
+                    new.add(w[at])
+                gaps.append(holes)
+            if len(self.seen) + len(new) > CACHE_WORDS:
+                self.seen.clear()
+            self.learn(list(new))
+            for w, found, holes in zip(words, ids, gaps, strict=True):
+                for at in holes:
+                    found[at] = get(w[at])
+                found.append(self.end)
+                yield b"".join(found)
             for w in new:
                 if len(w) > CACHE_BYTES:
                     del self.seen[w]
