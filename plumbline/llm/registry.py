@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "packing", "simhash", "line_dedup", "toxicity", "quality", "ann", "substrings", "suffix_array"]
+MODULES = ["mixing", "packing", "simhash", "line_dedup", "toxicity", "quality", "ann", "substrings", "suffix_array", "pii"]
 
 
 def _all(what: str) -> dict:
