@@ -234,6 +234,22 @@ def score(docs: DataFrame, mined: list[str], weights: np.ndarray) -> DataFrame:
     return _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, score double, votes long", scored)
 
 
+def kept(docs: DataFrame, mined: list[str], weights: np.ndarray) -> DataFrame:
+    """The rows of docs, as they are, that the classifier does not call toxic. Texts are scored where they are read."""
+    voters, base, w = Voters(mined), len(mined), weights.tolist()
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = []
+            for text in batch.column(place).to_pylist():
+                bits, hits = voters.vote(text)
+                stay.append(w[-1] + sum(w[k] for k in sorted(hits)) + sum(w[base + j] for j in range(len(VOTERS)) if bits >> j & 1) < 0)
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
     """doc_id, held_out, score, predicted, votes for each row of docs."""
     x = score(docs, *fit(docs, labels, bound))
