@@ -55,9 +55,9 @@ def test_whole_table_against_brute_force(spark):
     assert got == want and sum(x[1] for x in got.values()) > 10_000
 
 
-@pytest.mark.parametrize(("letters", "crowd"), [(1, 200), (2, 200), (2, 1), (4, 200)])
+@pytest.mark.parametrize(("letters", "crowd"), [(1, 1 << 20), (2, 1 << 20), (2, 1), (4, 1 << 20)])
 def test_small_alphabets(spark, letters, crowd, monkeypatch):
-    monkeypatch.setattr(S, "CROWD", crowd)
+    monkeypatch.setattr(S, "CROWD", crowd if crowd > 1 else 0)
     rng = random.Random(letters)
     rows = [(k, "".join(rng.choice("abcd"[:letters]) for _ in range(rng.randint(0, 150)))) for k in range(60)]
     assert same(spark, rows, 20) > 0 or letters == 4
