@@ -440,6 +440,7 @@ def felm(
     """
     model = formula if isinstance(formula, Model) else parse(formula, data.columns, wildcard, iv, clustervar)
     frame = build(data, model, weights, subset, contrasts)
+    said, model = model, frame.model
     columns = frame.cols("y", "x", "q", "z", "d")
     absorbed = Absorbed(frame, columns)
     m = absorbed.moments()
@@ -488,6 +489,7 @@ def felm(
         fit.tss[name] = float(absorbed.raw[c, c] - absorbed.sum_w * mean * mean)
         one = m[c, c] if absorbed.terms or not model.intercept else absorbed.raw[c, c] - absorbed.sum_w * mean * mean
         fit.ptss[name] = float(one)
+    fit.model = said
     fit.source, fit.options = data, {"weights": weights, "subset": subset, "contrasts": contrasts, "exact_dof": exact_dof, "cmethod": cmethod, "kclass": kclass, "fuller": fuller, "psdef": psdef, "robust": robust}
     return fit
 

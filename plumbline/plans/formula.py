@@ -16,11 +16,12 @@ class Model:
     instruments: list[str] = field(default_factory=list)
     clusters: list[str] = field(default_factory=list)
     controls: list[str] = field(default_factory=list)
-    intercept: bool = True
+    #: None: there is one unless a pure factor is absorbed
+    intercept: bool | None = None
 
     def text(self) -> str:
         plus = lambda x: " + ".join(x) or "0"
-        first = plus(self.covariates) if self.intercept else " + ".join([*self.covariates, "0"])
+        first = plus(self.covariates) if self.intercept is not False else " + ".join([*self.covariates, "0"])
         iv = f"({' | '.join(self.endogenous)} ~ {plus(self.instruments)})" if self.endogenous else "0"
         return f"{' | '.join(self.lhs)} ~ {first} | {plus(self.factors)} | {iv} | {plus(self.clusters)} | {plus(self.controls)}"
 
@@ -108,7 +109,6 @@ def parse(text: str, columns: list[str] | None = None, wildcard: str = "n", iv:
     lhs = [x for _, p in split(left, "|") for x in terms(p)[0]]
     covariates, said = terms(parts[0])
     factors = terms(parts[1])[0]
-    pure = any(not re.search(r":", f) for f in factors)
     endogenous, instruments = [], []
     forms = [parts[2].strip()[1:-1]] if parts[2].strip().startswith("(") else []
     if not forms and parts[2].strip() not in ("", "0"):
@@ -120,7 +120,7 @@ def parse(text: str, columns: list[str] | None = None, wildcard: str = "n", iv:
         endogenous += [x for _, p in split(a, "|") for x in terms(p)[0]]
         instruments += [x for x in terms(b)[0] if x not in instruments]
     clusters = terms(parts[3])[0] + ([clustervar] if isinstance(clustervar, str) else clustervar or [])
-    return Model(lhs, covariates, factors, endogenous, instruments, clusters, terms(parts[4])[0], said if said is not None else not pure)
+    return Model(lhs, covariates, factors, endogenous, instruments, clusters, terms(parts[4])[0], said)
 
 
 def updated(model: Model, change: str) -> Model:

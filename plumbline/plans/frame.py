@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,9 +117,6 @@ def build(df: DataFrame, model: Model, weights: str | None = None, subset: str |
                 col = f"_{role}{len(columns[role])}"
                 columns[role].append((name, col))
                 picked.append(c.alias(col))
-    if model.intercept:
-        columns["x"].insert(0, ("(Intercept)", "_one"))
-        picked.append(F.lit(1.0).alias("_one"))
     terms: list[Term] = []
     alone = {t for t in model.factors if ":" not in t}
     for t in model.factors:
@@ -148,6 +145,11 @@ def build(df: DataFrame, model: Model, weights: str | None = None, subset: str |
             else:
                 picked.append(c.alias(f"_s{len(terms)}"))
                 terms.append(Term(f"{name}:{':'.join(groups)}", key, f"_s{len(terms)}"))
+    if model.intercept is None:
+        model = replace(model, intercept=not any(t.pure for t in terms))
+    if model.intercept:
+        columns["x"].insert(0, ("(Intercept)", "_one"))
+        picked.append(F.lit(1.0).alias("_one"))
     columns["c"] = []
     for t in model.clusters:
         columns["c"].append((t, f"_c{len(columns['c'])}"))

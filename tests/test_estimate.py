@@ -189,8 +189,8 @@ def test_distributed_solution_agrees(df, pdf, monkeypatch):
 
 def test_formula_parts():
     m = parse("log(y) ~ a*b + G(f)")
-    assert m.covariates == ["a", "b", "a:b"] and m.factors == ["f"] and not m.intercept
-    assert parse("y ~ x | x:f").intercept and not parse("y ~ x - 1").intercept
+    assert m.covariates == ["a", "b", "a:b"] and m.factors == ["f"] and m.intercept is None
+    assert parse("y ~ x | x:f").intercept is None and parse("y ~ x - 1").intercept is False
     assert parse("y ~ x* | 0", ["x1", "x2", "y"], "g").covariates == ["x1", "x2"]
     with pytest.raises(ValueError):
         parse("y ~ a | b | 0 | c | d | e")
