@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once for each context, as --py-files would: they needn't have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, Path("plumbline") / f.relative_to(package))
+    sc.addPyFile(str(target))
+    sc._plumbline_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where the session names none."""
+    ship(spark)
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
