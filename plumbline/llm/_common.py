@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.plans.shared import shared_dir, written  # noqa: F401
+from plumbline.plans.shared import ship, written
+
+__all__ = ["GAP", "SMALL_ROWS", "WORD", "ship", "slices", "table", "word_array", "word_count", "written"]
 
 #: A word, in Java's and Python's syntax; bytes.split() finds the same words in UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,13 +21,16 @@ SMALL_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_checked(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """A join that broadcasts `small` only after its rows were counted; beyond SMALL_ROWS it is shuffled."""
-    n = small.count() if rows is None else rows
-    return left.join(F.broadcast(small) if n <= SMALL_ROWS else small, on, how)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in short slices, so that few texts are Python objects at a time; what a task used is given back."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def word_count(text: Column) -> Column:

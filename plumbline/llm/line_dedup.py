@@ -163,4 +163,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_line_dedup": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+ w AS (SELECT doc_id, pos, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+ e AS (SELECT doc_id * 1000000 + pos AS o, array_to_string(w, ' ') AS k, len(w) AS n, w FROM w WHERE len(w) >= 5),
+ c AS (SELECT k, min(o) AS o, min(n) AS n FROM e GROUP BY k),
+ p AS (SELECT k, o, n, unnest(range(1, n + 1)) AS j FROM c),
+ v AS (SELECT k, o, n, j, array_to_string(list_concat(list_slice(string_split(k, ' '), 1, j - 1), list_slice(string_split(k, ' '), j + 1, n)), ' ') AS v FROM p),
+ s AS (SELECT v, j, min(o) AS o FROM v GROUP BY v, j),
+ near AS (SELECT v.o FROM v JOIN s USING (v, j) WHERE s.o < v.o
+  UNION SELECT v.o FROM v JOIN c ON c.k = v.v WHERE c.o < v.o
+  UNION SELECT c.o FROM v JOIN c ON c.k = v.v WHERE v.o < c.o),
+ gone AS (SELECT e.o FROM e JOIN c USING (k) WHERE c.o < e.o UNION SELECT o FROM near),
+ z AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.o) AS n_removed, string_agg(CASE WHEN gone.o IS NULL THEN line END, chr(10) ORDER BY pos) AS kept FROM l LEFT JOIN gone ON gone.o = l.doc_id * 1000000 + l.pos GROUP BY l.doc_id)
+ SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM z"""
+}

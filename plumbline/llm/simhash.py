@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
 
-from ._common import table, written
+from ._common import slices, table, written
 
 SEED, DISTANCE, HEAVY = 42, 2, 64
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, print (signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = [fingerprint(x, width) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
 

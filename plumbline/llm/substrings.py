@@ -319,8 +319,16 @@ def kept_texts(docs: DataFrame, result: DataFrame) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "starts", "ends")
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {"op6_substrings": op6_substrings}
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_substrings": r"""WITH d AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS x, generate_subscripts(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''), 1) AS i FROM documents),
+ h AS (SELECT doc_id, i, x, string_agg(x, ' ') OVER p AS k, count(*) OVER p AS n FROM d WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+ m AS (SELECT k, min(doc_id) AS least FROM h WHERE n = 13 GROUP BY k),
+ g AS (SELECT doc_id, i FROM h JOIN m USING (k) WHERE n = 13 AND doc_id > least),
+ r AS (SELECT DISTINCT doc_id, i + j AS i FROM g, (SELECT unnest(range(13)) AS j)),
+ z AS (SELECT d.doc_id, count(*) AS n_words, count(r.i) AS n_removed, string_agg(CASE WHEN r.i IS NULL THEN x END, ' ' ORDER BY d.i) AS kept FROM d LEFT JOIN r ON d.doc_id = r.doc_id AND d.i = r.i GROUP BY d.doc_id)
+ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN z USING (doc_id)"""
+}

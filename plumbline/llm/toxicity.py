@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import slices, table, written
 
 #: Rows of the labelled sample, mined entries at most, and shards of the mined lexicon.
 BOUND, MINED, SHARDS = 20_000, 4_000, 6
@@ -159,7 +159,7 @@ def _mapped(df: DataFrame, schema: str, f: Callable[[list], Iterator[tuple]]) ->
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(f(list(zip(*(c.to_pylist() for c in batch.columns), strict=True))))
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
@@ -240,7 +240,7 @@ def kept(docs: DataFrame, mined: list[str], weights: np.ndarray) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             stay = []
             for text in batch.column(place).to_pylist():
                 bits, hits = voters.vote(text)
