@@ -8,14 +8,13 @@ or earlier in the same one) is removed. Strings are judged on the input, and nev
    reaches the shuffle at most once for each batch.
 2. Texts with shared marks come back; each run of windows with one shared mark becomes a passage. Of equal
    passages the earliest stands for all, and the windows of the others go.
-3. Passages with a mark in common but different bytes are sorted by suffix: a task concatenates the passages
-   that it gets and builds their suffix array. suffix_array() groups suffixes by their Lyndon prefixes: groups
+3. Passages with a mark in common but different bytes are sorted by suffix: a task cuts the passages that it
+   gets down to windows whose hash is not alone, concatenates them and builds their suffix array. suffix_array() groups suffixes by their Lyndon prefixes: groups
    are taken in descending order, each member points to the nearest position before it in a lower group, and
    the positions pointed at split off as new groups; a second pass emits every group's order from the front.
    There is no recursion and no renaming. Neighbours in that order that agree in `width` bytes are repeats.
-   Marks with more than CROWD different passages, or passages of more than LONG bytes, take another way,
-   exact too, so that no task gets an unbounded group: their windows are compared by 128-bit hashes, with
-   the earliest of each task first.
+   Marks whose different passages have more than CROWD bytes take another way, exact too, so that no task gets
+   an unbounded group: their windows are compared by 128-bit hashes, with the earliest of each task first.
 
 Nulls: a null text is empty, a null doc_id comes before all others; rows that repeat doc_id and text are one
 document each, and a tie removes nothing. Empty and short texts, and empty tables, come back as they are.
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from ._common import table, written
 from .substrings import NO_ID, _id, mix, span_hashes, twin_of
 
-WIDTH, GRAM, CHUNK, CROWD, LONG, BLOCK = 100, 16, 1 << 22, 200, 1 << 16, 1 << 19
+WIDTH, GRAM, CHUNK, CROWD, BLOCK = 100, 32, 1 << 21, 1 << 20, 1 << 18
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -186,7 +185,7 @@ def shared_marks(docs: DataFrame, width: int) -> DataFrame:
             yield _batch(schema, [ids[doc[ahead]], mark[ahead], np.zeros(len(ahead), bool)])
 
     sent = docs.mapInArrow(run, schema)
-    return sent.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("mark", "known"))).where("known or n > 1").select("id", "mark").distinct()
+    return sent.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("mark", "known"))).where("known or n > 1").select("id", "mark")
 
 
 def passages(texts: DataFrame, width: int) -> DataFrame:
@@ -222,14 +221,57 @@ def passages(texts: DataFrame, width: int) -> DataFrame:
             yield _batch(schema, [[x[0] for x in gone], [x[1] for x in gone], [0] * len(gone), [x[0] for x in gone], [x[2] for x in gone], [x[1] for x in gone], [x[3] for x in gone], [b""] * len(gone), [False] * len(gone), [True] * len(gone)])
 
     found = texts.select("id", "twin", "text", "marks").mapInArrow(run, schema)
-    place = F.struct("id", "start")
-    return found.withColumn("gone", F.col("known") | (place > F.min(place).over(W.partitionBy("mark", "h1", "h2", "known"))))
+    place, one, least = F.struct("id", "start"), W.partitionBy("mark", "known"), W.partitionBy("mark", "known", "h1", "h2")
+    found = found.repartition("mark", "known")
+    found = found.withColumn("gone", F.col("known") | (place > F.min(place).over(least)))
+    open_ = ~F.col("gone")
+    found = found.withColumn("many", F.sum(open_.cast("int")).over(one)).withColumn("bulk", F.sum(F.when(open_, F.octet_length("body"))).over(one)).withColumn("any", F.max("twice").over(one))
+    found = found.where(F.col("gone") | (F.col("many") > 1) | F.col("any")).drop("any")
+    return found.withColumn("body", F.when(open_, F.col("body")))
+
+
+def _narrowed(rows: list[tuple], width: int) -> list[tuple]:
+    """The passages cut down to the windows whose hash occurs twice among them: only these can have an equal."""
+    if not rows:
+        return rows
+    raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).astype(np.uint64)
+    n = np.array([r[3] for r in rows])
+    first = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])[:-1]])
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    h = span_hashes(raw, at, at + width)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    row = np.repeat(np.arange(len(rows)), n)
+    edge = np.flatnonzero(twice & np.concatenate([[True], ~twice[:-1] | (row[1:] != row[:-1])]))
+    stop = np.flatnonzero(twice & np.concatenate([~twice[1:] | (row[1:] != row[:-1]), [True]])) + 1
+    out = []
+    for a, b in zip(edge.tolist(), stop.tolist(), strict=True):
+        i, twin, start, _, body = rows[row[a]]
+        k = int(at[a] - first[row[a]])
+        out.append((i, twin, start + k, b - a, body[k : k + b - a + width - 1]))
+    return out
+
+
+def _earliest(rows: list[tuple], gone: list[tuple]) -> list[tuple]:
+    """The first of equal passages; the places and windows of the others go to `gone`."""
+    first: dict[bytes, tuple] = {}
+    ties = []
+    for r in sorted(rows, key=lambda r: (r[0], r[2])):
+        old = first.setdefault(r[4], r)
+        if (old[0], old[2]) < (r[0], r[2]):
+            gone.append((r[0], r[1], r[2], r[3]))
+        elif old is not r:
+            ties.append(r)
+    return [*first.values(), *ties]
 
 
 def _repeats(rows: list[tuple], width: int) -> Iterator[tuple[int, int, int]]:
     """(id, twin, start) of the windows of passages (id, twin, start, windows, body) that are not the first of their kind."""
-    body = b"".join(r[4] for r in rows)
-    raw = np.frombuffer(body, np.uint8)
+    if not rows:
+        return
+    raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
     text: list[int] = []
     for r in rows:
         text += [b + 2 for b in r[4]]
@@ -269,8 +311,15 @@ def sorted_repeats(found: DataFrame, width: int) -> DataFrame:
     """GONE rows of passages that share a mark, sorted by it within partitions, each mark in one partition."""
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        gone = list(_repeats(rows, width))
-        return _batch(GONE, [[g[0] for g in gone], [g[1] for g in gone], [g[2] for g in gone], [1] * len(gone)])
+        gone: list[tuple] = []
+        while True:  # cut down, and let the earliest of equal passages stand for all, until neither changes anything
+            rows = _narrowed(rows, width)
+            kept = _earliest(rows, gone)
+            if len(kept) == len(rows):
+                break
+            rows = kept
+        gone += [(*g, 1) for g in _repeats(rows, width)]
+        return _batch(GONE, [[g[k] for g in gone] for k in range(4)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
@@ -359,16 +408,14 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     known = written(known.drop("least", "h1", "h2"), "bytes-copies")
     copies = known.groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id")
     wanted = shared_marks(docs, width).join(copies, "id", "left_anti").groupBy("id").agg(F.collect_set("mark").alias("marks"))
-    hit = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("of"), "text", twin_of(F.col("text")).alias("twin"))
-    hit = written(hit.join(wanted, F.col("of") == F.col("id")).select("id", "twin", "text", "marks"), "bytes-texts")
-    found = written(passages(hit, width), "bytes-passages")
+    texts = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), twin_of(F.col("text")).alias("twin"), "text")
+    # texts are read again at the end, so that those with shared marks needn't be kept till then
+    found = written(passages(texts.join(wanted, "id"), width), "bytes-passages")
     open_ = found.where(~F.col("gone"))
-    per = open_.groupBy("mark").agg(F.count(F.lit(1)).alias("many"), F.max(F.octet_length("body")).alias("longest"), F.max("twice").alias("any")).where("many > 1 or any")
-    open_ = open_.join(per, "mark")
-    crowded = (F.col("many") > CROWD) | (F.col("longest") > LONG)
+    crowded = F.col("bulk") > CROWD
     gone = found.where("gone").select("id", "twin", "start", "windows").union(sorted_repeats(open_.where(~crowded), width)).union(hashed_repeats(open_.where(crowded), width))
     gone = gone.groupBy("id", "twin").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
-    gone = removals(hit.select("id", "twin", "text").join(gone, ["id", "twin"]), width).dropDuplicates(["id", "twin"])
+    gone = removals(texts.join(gone, ["id", "twin"]), width).dropDuplicates(["id", "twin"])
     out = known.withColumnRenamed("twin", "of_twin").withColumnRenamed("id", "of").join(gone, (F.col("of") == F.col("id")) & (F.col("of_twin") == F.col("twin")), "left")
     copy, none = F.col("copy"), F.array().cast("array<long>")
     return out.select(
