@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import ship, slices, table
 
 LIMIT_TOKENS, LIMIT_SEGMENTS = 4096, 64
 GROUP_BYTES, GROUP_ROWS = 8 << 20, 10_000
@@ -103,7 +103,7 @@ class WordTokenizer:
     #: Latin letters, then other ASCII signs that can't begin a contraction or a special token.
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{|}~]*)")
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, most: int | None = None):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -114,6 +114,7 @@ class WordTokenizer:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.end = np.array([end], "<u4").tobytes()
+        self.most = most or CACHE_WORDS
         self.seen: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -143,7 +144,7 @@ class WordTokenizer:
 
     def learn(self, words: list[bytes]) -> None:
         split = [self._halves(w.decode("utf-8", "replace")) for w in words]
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > self.most:
             self.parts.clear()
         parts, tails, seen = self.parts, self.tails, self.seen
         self._learn_parts(list({m[0] for m in split if m}.difference(parts)))
@@ -172,7 +173,7 @@ class WordTokenizer:
                     holes.append(at := found.index(None, at + 1))
                     new.add(w[at])
                 gaps.append(holes)
-            if len(self.seen) + len(new) > CACHE_WORDS:
+            if len(self.seen) + len(new) > self.most:
                 self.seen.clear()
             self.learn(list(new))
             for w, found, holes in zip(words, ids, gaps, strict=True):
@@ -185,13 +186,13 @@ class WordTokenizer:
                     del self.seen[w]
 
     #: One for each worker process, kept from task to task.
-    made: dict[tuple[str, int], WordTokenizer] = {}
+    made: dict[tuple, WordTokenizer] = {}
 
     @classmethod
-    def of(cls, path: str, end: int) -> WordTokenizer:
-        if (path, end) not in cls.made:
-            cls.made[path, end] = cls(path, end)
-        return cls.made[path, end]
+    def of(cls, *args) -> WordTokenizer:
+        if args not in cls.made:
+            cls.made[args] = cls(*args)
+        return cls.made[args]
 
 
 def _pack_group(group: int, docs: list[tuple], limits: tuple[int, int, int]) -> pa.RecordBatch:
@@ -226,19 +227,21 @@ def _pack_group(group: int, docs: list[tuple], limits: tuple[int, int, int]) ->
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [c.split()[0] for c in PIECES.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, limits: tuple[int, int, int] = (LIMIT_TOKENS, LIMIT_SEGMENTS, LIMIT_TOKENS), loss_share: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, limits: tuple[int, int, int] = (LIMIT_TOKENS, LIMIT_SEGMENTS, LIMIT_TOKENS), loss_share: str | None = None, cache_words: int | None = None) -> DataFrame:
     """Pieces of `docs` (doc_id, text). limits: tokens, segments and loss-bearing tokens of a sequence.
 
     tokenizer: path of a tokenizers file, the same on each executor. loss_share: a column with the share of a
-    document's tokens that bear loss (null: all), for instruction data; without it all tokens do.
+    document's tokens that bear loss (null: all), for instruction data; without it all tokens do. cache_words: words
+    whose ids a worker keeps, about 300 bytes each; fewer cost time only.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.coalesce(F.col(loss_share).cast("double"), F.lit(1.0)) if loss_share else F.lit(1.0)).alias("share"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     groups = max(1, -(-size["bytes"] // GROUP_BYTES), -(-size["rows"] // GROUP_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, by_group = WordTokenizer.of(tokenizer, end), {}
-        for batch in batches:
+        coder, by_group = WordTokenizer.of(tokenizer, end, cache_words), {}
+        for batch in slices(batches):
             doc_ids, texts, shares, groups = (c.to_pylist() for c in batch.columns)
             for doc_id, ids, share, group in zip(doc_ids, coder.encode(texts), shares, groups, strict=True):
                 by_group.setdefault(group, []).append((doc_id, ids, int(len(ids) // 4 * min(1.0, max(0.0, share)))))

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import table, written
-from .substrings import NO_ID, _id, mix, span_hashes, twin_of
+from .substrings import NO_ID, _id, span_hashes, twin_of
 
 WIDTH, GRAM, CHUNK, CROWD, BLOCK = 100, 32, 1 << 21, 1 << 20, 1 << 18
 
