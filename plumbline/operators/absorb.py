@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.config import DEFAULTS
 from plumbline.functions.linalg import cgsolve, pinv
 from plumbline.operators.components import connected_components
 from plumbline.plans.formula import Model
 from plumbline.plans.frame import Frame, Term, build
 from plumbline.plans.shared import written
 
-EDGES, DENSE, BROADCAST = 3_000_000, 1500, 200_000
+EDGES, DENSE, BROADCAST, EXACT = DEFAULTS.edges, DEFAULTS.dense, DEFAULTS.broadcast, DEFAULTS.exact
 
 
 def _slope(t: Term):
@@ -32,7 +33,7 @@ def _slope(t: Term):
 class Absorbed:
     """Level sums of a frame's columns, and solutions of the normal equations of its terms."""
 
-    def __init__(self, frame: Frame, columns: list[str], shift: bool = True, eps: float = 1e-11, need_edges: bool = True):
+    def __init__(self, frame: Frame, columns: list[str], shift: bool = True, eps: float = DEFAULTS.eps, need_edges: bool = True):
         self.frame, self.columns, self.terms, self.eps = frame, columns, frame.terms, eps
         df, w = frame.df, F.col("_w")
         sums = df.agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(c) for c in columns]).first()
@@ -216,8 +217,8 @@ class Absorbed:
         """Redundant levels: none for one pure term, the components for two, and one more for each further term (or the exact rank deficiency)."""
         pure = self.pure()
         if exact and self.total:
-            if self.total > 5000:
-                raise ValueError("the exact rank is computed up to 5000 levels")
+            if self.total > EXACT:
+                raise ValueError(f"the exact rank is computed up to {EXACT} levels")
             return self.total - pinv(self.dense() / np.sqrt(np.outer(self.diagonal, self.diagonal)))[1]
         if len(pure) < 2:
             return 0
