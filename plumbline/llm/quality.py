@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ._common import SMALL_ROWS, table, written
 
 ORDER, ENTRIES, CHUNK, SLOT_BITS = 5, 1 << 22, 1 << 22, 21
+#: Models that a worker holds at a time.
+LANGUAGES = 16
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MASK = [0, *((1 << (8 * k)) - 1 for k in range(1, ORDER + 1))]
 
@@ -99,7 +101,8 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
         cut = lambda i: F.least(F.lit(i - 0.05), F.greatest(F.lit(0.05), i - (i + 1) * y * F.coalesce(F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / (i + 1)))))  # noqa: B023, E731
         d = d.select("_l", *[cut(i).alias(f"d{i}") for i in (1, 2, 3)])
-        t = t.join(F.broadcast(d), _same("lang", "_l")).drop("_l").withColumn("ctx", F.shiftright("gram", 8))
+        d = written(d, f"kn-discounts-{k}")
+        t = t.join(F.broadcast(d) if d.count() <= SMALL_ROWS else d, _same("lang", "_l")).drop("_l").withColumn("ctx", F.shiftright("gram", 8))
         off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         ctx = t.groupBy(F.col("lang").alias("_l"), F.col("ctx").alias("_c")).agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
         ctx = written(ctx.select("_l", "_c", "total", (F.col("off") / F.col("total")).alias("gamma")), f"kn-contexts-{k}")
@@ -223,6 +226,8 @@ def scored(docs: DataFrame, models: dict) -> DataFrame:
             out = [[] for _ in range(8)]
             for lang, rows in _by_language(batch).items():
                 if lang not in made:
+                    if len(made) >= LANGUAGES:
+                        made.clear()
                     made[lang] = Model(sent.value[lang])
                 at = 0
                 for part in _chunks([(t or "").encode() for _, t in rows]):
