@@ -3,7 +3,7 @@
 Rows are aggregated once: sums of each column by level, and weights by pair of levels. All iteration is then on
 vectors of level length, by preconditioned conjugate gradients on the dummies' cross product; rows come back
 only when residuals are asked for. Up to EDGES pairs of levels the system is solved on the driver; beyond that,
-vectors stay DataFrames and each product is a join and an aggregation for each term.
+each product is a join of the cells to the level vectors and an aggregation for each term.
 """
 
 from __future__ import annotations
