@@ -51,7 +51,7 @@ def _beside(docs: DataFrame, state: DataFrame, sources: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: list[float], most: float = 3.0, share: float = 1.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each document."""
+    """doc_id, source, size, source_size, target, copies, taken, hash (of doc_id and text) for each document."""
     slim = written(
         docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("hash")),
         "mix",
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: list[float], most: float = 3.0, share: float =
         _beside(slim, state, sources)
         .withColumn("copies", (F.col("base") + extra).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "hash")
     )
 
 

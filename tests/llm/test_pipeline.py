@@ -40,3 +40,20 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert got == [0, 1, 7, 9]
     for _, stage in P.STAGES[1:]:
         assert stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_by_text(spark):
+    def text(k, n=60):
+        return " ".join(f"w{k}-{i}" for i in range(n))
+
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (1, text(3) + " end"), (5, text(4)), (5, text(5)), (6, text(4)), (7, text(5) + " end")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(None, text(1)), (None, text(2)), (1, text(3) + " end"), (5, text(4)), (5, text(5))]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
+    mixed = P.mix_sources(spark, out, "").groupBy("doc_id", "text").count().collect()
+    assert mixed and all(r["count"] <= 3 for r in mixed)
+    copies = {(r["doc_id"], r["hash"]): r["copies"] for r in P.mixing.mix(out, [5.0, 2.0, 1.0]).collect()}
+    assert sum(r["count"] for r in mixed) == sum(copies.values())
