@@ -2,7 +2,8 @@
 
 A line is its words. A line of at least `min_words` words is removed if an earlier line, by (doc_id, place in
 the text), has the same words or is one word edit away (a word inserted, deleted or replaced: with five words
-or more, at least four in five agree). Lines are judged on the input, not on what is left. Shorter lines stay.
+or more, at least four in five agree). Lines are judged on the input, not on what is left. A shorter line of at
+least `equal_words` words is removed if an earlier one has the same words; lines without a word stay.
 
 1. Equal lines form classes by a 128-bit hash of their words; a class keeps its earliest line.
 2. One edit leaves the first p or the last p words intact, so only classes that share such an end with another
@@ -75,15 +76,17 @@ def variants(found: DataFrame) -> DataFrame:
     return out.select("place", "v.out", "v.variant")
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, at) of the lines that have an earlier line within one word edit."""
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, at) of the lines that have an earlier line within one word edit, or an equal one if they are short."""
     if min_words < 5:
         raise ValueError("a line one word shorter must still have two ends of two words")
     plain = F.posexplode(F.transform(_lines(F.col("text")), _plain)).alias("at", "plain")
     n = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
-    slim = docs.select("doc_id", plain).withColumn("n", n).where(F.col("n") >= min_words)
+    slim = docs.select("doc_id", plain).withColumn("n", n).where((F.col("n") >= min(min_words, equal_words)) & (F.col("plain") != ""))
     h1, h2 = F.xxhash64("plain"), F.xxhash64(F.lit(7), "plain")
-    slim = written(slim.select("doc_id", "at", h1.alias("h1"), h2.alias("h2"), _ends(F.col("plain"), F.col("n")).alias("ends")), "lines")
+    # without ends a line is near to none
+    ends = F.when(F.col("n") >= min_words, _ends(F.col("plain"), F.col("n"))) if equal_words < min_words else _ends(F.col("plain"), F.col("n"))
+    slim = written(slim.select("doc_id", "at", h1.alias("h1"), h2.alias("h2"), ends.alias("ends")), "lines")
     place = F.struct("doc_id", "at")
     classes = written(slim.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("ends").alias("ends")), "line-classes")
     shared = classes.select("h1", F.explode("ends").alias("end"))
@@ -140,9 +143,9 @@ def one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = MIN_WORDS) -> DataFrame:
     """docs with `text` rid of the lines that removed_lines() names, and n_lines, n_removed."""
-    gone = removed_lines(docs.select("doc_id", "text"), min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    gone = removed_lines(docs.select("doc_id", "text"), min_words, equal_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = row.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
     lines = _lines(F.col("row.text"))

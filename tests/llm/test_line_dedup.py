@@ -74,3 +74,22 @@ def test_extra_columns_and_empty_table(spark):
 def test_ends_fit_twice_for_neighbouring_lengths(spark):
     for r in spark.range(4, 3000).select("id", _end(F.col("id").cast("int")).alias("p"), _end(F.col("id").cast("int") + 1).alias("q")).collect():
         assert 2 <= r["p"] and 2 * r["p"] <= r["id"] and r["p"] * 3 > r["id"] - 1 and r["q"] >= r["p"]
+
+
+def test_short_lines_that_repeat_go_where_asked(spark):
+    import corpus_pipeline as P
+
+    rows = [(1, "And so.\n\none two three four five"), (2, "And  so.\n \nAnd now."), (3, "so\nAnd so.\nAnd then.\none two three 4 five"), (4, "so")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: rows[0][1], 2: " \nAnd now.", 3: "so\nAnd then.", 4: ""}
+    assert {r["doc_id"]: r["text"] for r in P.drop_lines(spark, docs, "").collect()} == want
+    assert {r["doc_id"]: r["n_removed"] for r in dedup_lines(docs).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    long = brute([tuple(r) for r in docs.collect()])
+    lines = [((d, at), b" ".join(x.split())) for d, t in sorted(map(tuple, docs.collect())) for at, x in enumerate((t or "").encode().split(b"\n"))]
+    seen, short = set(), 0
+    for _, x in lines:
+        short += 0 < len(x.split()) < 5 and x in seen
+        seen.add(x)
+    got = dedup_lines(docs, equal_words=1).agg(F.sum("n_removed")).first()[0]
+    assert short > 0 and got == short + sum(map(len, long.values()))
