@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -53,6 +54,18 @@ def entries(words: set[str]) -> set[str]:
     return {w for w in words if len(w) > 2} | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
+@cache
+def _upper() -> np.ndarray:
+    return np.fromiter((chr(k).isupper() for k in range(0x110000)), bool, 0x110000)
+
+
+def upper_case(text: str) -> int:
+    """How many of all characters are upper case."""
+    if len(text) < 200:
+        return sum(map(str.isupper, text))
+    return int(_upper()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].sum())
+
+
 class Voters:
     def __init__(self, mined: list[str]):
         self.mined = {x: k for k, x in enumerate(mined)}
@@ -89,9 +102,8 @@ class Voters:
         base += SHARDS
         bits |= (n >= 3) << base
         bits |= any(self.seed.match(x.translate(DISGUISED).lower()) for x in MIXED.findall(text)) << (base + 1)
-        bits |= bool(bits & 0b11) and bool(ADDRESS.search(text)) and 1 << (base + 2)
-        upper = sum(map(str.isupper, text[:: max(1, len(text) // 4096)]))  # evenly spread over the whole text
-        bits |= (upper * 2 > len(text[:: max(1, len(text) // 4096)]) > 20) << (base + 3)
+        bits |= bool(bits & 0b111) and bool(ADDRESS.search(text)) and 1 << (base + 2)  # its words are of the first three themes
+        bits |= (upper_case(text) * 2 > len(text) > 20) << (base + 3)
         return bits, hits
 
 

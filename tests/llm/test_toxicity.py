@@ -47,3 +47,13 @@ def test_label_model_recovers_accuracies_and_discounts_copies():
     assert abs(m["rate"] - 0.2) < 0.05 and abs(m["fires"][1][0] - 0.8) < 0.08
     assert m["weight"][2] < 0.5 < m["weight"][0] and m["correlation"][2, 3] > 0.7
     assert ((q >= 0) & (q <= 1)).all()
+
+
+def test_votes_see_whole_texts_and_all_themes():
+    voters, at = T.Voters([]), T.VOTERS.index
+    vote = lambda text, name: voters.vote(text)[0] >> at(name) & 1
+    assert vote("you are disgusting", "addressed") and vote("you are an idiot", "addressed") and not vote("this is disgusting", "addressed")
+    assert not vote(("A" + "b" * 3) * 4096, "shouting") and vote(("b" + "ÀC") * 4096, "shouting") and not vote("Ab" * 10_000, "shouting")
+    for n in (10, 30, 5000, 50_000):
+        text = "".join(chr(0x41 + k * 7 % 700) for k in range(n))
+        assert T.upper_case(text) == sum(map(str.isupper, text))
