@@ -32,7 +32,8 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9]++)++",
 }
-BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+#: Zeros in front, then at most 255; or zeros alone.
+BYTE = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 GAP, INK = r"\x20\x09-\x0D", r"[^\x20\x09-\x0D]"
 UNIT = rf"(?:{PATTERNS['phone']})|(?<![{LABEL}])[0-9]{{2,}}+(?:[\x20-][0-9]{{2,}}+){{2,}}+|(?<!{INK}){INK}*?[0-9@]{INK}*+"
 TRIM_LEFT, TRIM_RIGHT = r"^[\"'(\[<{,.;:!?#*$%&|=]++", r"[\"')\]>},.;:!?#*$%&|=]++$"
@@ -96,9 +97,8 @@ def spans_and_units(docs: DataFrame) -> DataFrame:
     words2 = lambda s: F.concat(F.array(F.lit(""), F.lit("")), words(s))
     near = lambda m: F.struct(
         m["match"].alias("match"), m["start"].alias("start"),
-        F.array_join(F.slice(words2(F.right(m["before"], F.lit(80))), -2, 2), " ").alias("two"),
-        F.element_at(words2(F.right(m["before"], F.lit(80))), -1).alias("one"),
-        F.coalesce(F.try_element_at(words(F.substring(m["after"], 1, 80)), F.lit(1)), F.lit("")).alias("next"),
+        F.slice(words2(m["before"]), -2, 2).alias("two"),
+        F.lower(F.regexp_extract(m["after"], f"^[{GAP}]*+({INK}++)", 1)).alias("next"),
     )
     return x.select("doc_id", "key", F.array_sort(F.concat(*KINDS)).alias("base"), F.transform("units", near).alias("units"))
 
@@ -115,7 +115,7 @@ def unit_rows(x: DataFrame) -> DataFrame:
     u = u.withColumn("kind", F.try_element_at(exact, F.lit(1))["kind"]).where(F.col("kind").isNotNull() | (F.size("inside") == 0))
     shape = reduce(lambda s, r: F.regexp_replace(s, *r), [(r"\p{Lu}++", "A"), (r"\p{Ll}++", "a"), ("[0-9]", "9")], F.col("core"))
     kind_of = F.when(F.col("core").contains("@"), "at").when(F.regexp_replace("core", r"[0-9\x20().+-]", "") == "", "digits").otherwise("mixed")
-    return u.select("key", "start", "end", "core", "kind", F.left(shape, F.lit(60)).alias("shape"), kind_of.alias("class"), "two", "one", "next")
+    return u.select("key", "start", "end", "core", "kind", shape.alias("shape"), kind_of.alias("class"), F.array_join("two", " ").alias("two"), F.element_at("two", -1).alias("one"), "next")
 
 
 def bootstrap(units: DataFrame, rounds: int = 3, least: float = 0.5, support: float = 3.0, accept: float = 0.5) -> DataFrame:
