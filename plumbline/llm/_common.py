@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.plans.shared import ship, written
+from plumbline.plans.shared import ranked, ship, with_groups, written
 
-__all__ = ["GAP", "SMALL_ROWS", "WORD", "ship", "slices", "table", "word_array", "word_count", "written"]
+__all__ = ["GAP", "SMALL_ROWS", "WORD", "ranked", "ship", "slices", "table", "with_groups", "word_array", "word_count", "written"]
 
 #: A word, in Java's and Python's syntax; bytes.split() finds the same words in UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"

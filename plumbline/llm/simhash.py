@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.components import connected_components
 
 from ._common import slices, table, written
+from ._near import near_copies, text_hashes
 
 SEED, DISTANCE, HEAVY = 42, 2, 64
 
@@ -107,5 +108,6 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+__all__ = ["fingerprints", "links", "near_copies", "near_duplicates", "op1_simhash", "text_hashes"]
 QUERIES = {"op1_simhash": op1_simhash}
 SQL: dict[str, str] = {}
