@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.shared import ranked, ship, with_groups, written
 
-__all__ = ["GAP", "SMALL_ROWS", "WORD", "ranked", "ship", "slices", "table", "with_groups", "word_array", "word_count", "written"]
+__all__ = ["GAP", "SMALL_ROWS", "WORD", "give_back", "ranked", "ship", "slices", "table", "with_groups", "word_array", "word_count", "written"]
 
 #: A word, in Java's and Python's syntax; bytes.split() finds the same words in UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,7 +32,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library hold of freed memory, so that idle workers stay small."""
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_count(text: Column) -> Column:

@@ -12,12 +12,13 @@ window's mark. The lowest level, the single word, always gives one.
    words, which verifies the repeat.
 3. A window that also starts in a document with a smaller doc_id marks its words for removal.
 
-Both times a batch settles among its own texts what it can: rows of a mark or window that reach the shuffle
-are at most one for each batch, whatever the number of documents that hold it. A text whose exact copy has a
-smaller doc_id takes no part: all its windows go.
+Both times a batch settles among its own texts what it can: what it has settled is dealt by document, and of the
+rows that are dealt by mark or window there is at most one for each batch, whatever the number of documents that
+hold it. A text whose exact copy has a smaller doc_id takes no part: all its windows go. Texts are shuffled once,
+by the hash of doc_id and text that names a row; both later steps read the same exchange.
 
 Windows are judged on the input. Nulls: a null text has no words; a null doc_id comes before all others.
-Rows that repeat a doc_id tie, and a tie removes nothing. Texts shorter than a window, empty texts and empty tables come back as they are. Other columns
+Rows that repeat a doc_id tie, and a tie removes nothing, whether their texts are equal or not. Texts shorter than a window, empty texts and empty tables come back as they are. Other columns
 are ignored.
 """
 
@@ -28,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import table, word_array, written
+from ._common import give_back, ship, slices, table, with_groups, word_array, written
 
-WIDTH, ROUNDS, CHUNK = 13, 2, 1 << 22
+WIDTH, ROUNDS, CHUNK = 13, 2, 1 << 21
 FAR = 1 << 40
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.zeros(256, bool)
@@ -148,24 +149,19 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 def _arrow(schema: str, *columns) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
     parts = [c.split() for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts, strict=True)], [p[0] for p in parts])
-
-
-def _id(x: int | None) -> int:
-    return NO_ID if x is None else x
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts, strict=True)], [p[0] for p in parts])
 
 
 def shared_marks(docs: DataFrame, width: int) -> DataFrame:
-    """(id, mark) of texts with a mark that another text has. id is doc_id, with a stand-in for null."""
-    schema = "id long, mark long, known boolean"
+    """(row, mark) of the texts of `docs` (row, text) with a mark that another text has."""
+    schema = "row long, mark long, known boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: dict[bytes, int] = {}
             for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = (t or "").encode()
-                own[t] = min(own.get(t, _id(i)), _id(i))
-            texts, ids, found, of = list(own), np.fromiter(own.values(), np.int64, len(own)), [], []
+                own.setdefault(t.encode(), i)
+            texts, rows, found, of = list(own), np.fromiter(own.values(), np.int64, len(own)), [], []
             for at, part in _chunks(texts):
                 word, first = words_of(part)
                 mark, room = marks(word, first, width)
@@ -182,35 +178,33 @@ def shared_marks(docs: DataFrame, width: int) -> DataFrame:
             mark, doc = mark[new], doc[new]
             start = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])[: len(mark)])
             several = np.repeat(np.diff(np.append(start, len(mark))) > 1, np.diff(np.append(start, len(mark))))
-            yield _arrow(schema, ids[doc], mark, several)
+            yield _arrow(schema, rows[doc], mark, several)
             # others may share the mark with one text of these, so one of them stands for all
             if len(ahead := start[several[start]]):
-                yield _arrow(schema, ids[doc[ahead]], mark[ahead], np.zeros(len(ahead), bool))
+                yield _arrow(schema, rows[doc[ahead]], mark[ahead], np.zeros(len(ahead), bool))
+        give_back()
 
     sent = docs.mapInArrow(run, schema)
-    other = W.partitionBy("mark")
-    sent = sent.withColumn("shared", F.col("known") | (F.min("id").over(other) < F.max("id").over(other)))
-    return sent.where("shared").select("id", "mark")
+    other = W.partitionBy("mark", F.when(F.col("known"), F.col("row")))
+    sent = sent.withColumn("shared", F.col("known") | (F.min("row").over(other) < F.max("row").over(other)))
+    return sent.where("shared").select("row", "mark")
 
 
 def repeated_windows(texts: DataFrame, width: int) -> DataFrame:
-    """(id, twin, places): windows of `texts` (id, text, marks) that start in a document with a smaller id too.
-
-    twin tells texts with one id apart. Several rows may name a text's places.
-    """
-    schema = "h1 long, h2 long, id long, twin long, places array<int>, known boolean"
+    """(row, id, places): windows of `texts` (row, id, text, marks) that start in a document with a smaller id too. Several rows may name a text's places."""
+    schema = "h1 long, h2 long, row long, id long, places array<int>, known boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             holders: dict[bytes, dict[tuple[int, int], list[int]]] = {}
-            for i, other, t, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, i, t, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = t.encode()
                 word, first = words_of([raw])
                 mark, room = marks(word, first, width)
                 at = np.flatnonzero(room & np.isin(mark, np.array(wanted, np.int64)))
-                words, me = raw.split(), (i, other)
+                words, me = raw.split(), (i, row)
                 for s in at.tolist():
                     holders.setdefault(xxhash.xxh3_128_digest(b" ".join(words[s : s + width])), {}).setdefault(me, []).append(s)
             gone: dict[tuple[int, int], list[int]] = {}
@@ -223,25 +217,27 @@ def repeated_windows(texts: DataFrame, width: int) -> DataFrame:
                     else:
                         rows.append((h, me, places))
             h = np.frombuffer(b"".join(r[0] for r in rows), np.int64).reshape(-1, 2)
-            yield _arrow(schema, h[:, 0], h[:, 1], [r[1][0] for r in rows], [r[1][1] for r in rows], [r[2] for r in rows], [False] * len(rows))
-            yield _arrow(schema, [k[0] for k in gone], [k[1] for k in gone], [k[0] for k in gone], [k[1] for k in gone], list(gone.values()), [True] * len(gone))
+            yield _arrow(schema, h[:, 0], h[:, 1], [r[1][1] for r in rows], [r[1][0] for r in rows], [r[2] for r in rows], [False] * len(rows))
+            yield _arrow(schema, [k[0] for k in gone], [k[1] for k in gone], [k[1] for k in gone], [k[0] for k in gone], list(gone.values()), [True] * len(gone))
+        give_back()
 
-    found = texts.select("id", "twin", "text", "marks").mapInArrow(run, schema)
-    same = W.partitionBy("h1", "h2", "known")
-    return found.withColumn("gone", F.col("known") | (F.col("id") > F.min("id").over(same))).where("gone").select("id", "twin", "places")
+    found = texts.select("row", "id", "text", "marks").mapInArrow(run, schema)
+    same = W.partitionBy("h1", "h2", F.when(F.col("known"), F.col("row")))
+    return found.withColumn("gone", F.col("known") | (F.col("id") > F.min("id").over(same))).where("gone").select("row", "id", "places")
 
 
 def removals(texts: DataFrame, width: int) -> DataFrame:
-    """(id, twin, n_removed, spans, kept_sha256) of `texts` (id, text, places)."""
-    schema = "id long, twin long, n_removed long, starts array<int>, ends array<int>, kept_sha256 string"
+    """(row, id, n_removed, starts, ends, kept_sha256) of `texts` (row, id, text, found: ids and places)."""
+    schema = "row long, id long, n_removed long, starts array<int>, ends array<int>, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in range(6)]
-            for i, other, t, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, i, t, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = t.encode().split()
+                places = [x["places"] for x in found if x["id"] == i]
                 step = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.array(places, np.int64))
+                at = np.unique(np.concatenate([np.array(x, np.int64) for x in places])) if places else np.zeros(0, np.int64)
                 step[at] += 1
                 step[at + width] -= 1
                 cover = np.concatenate([[False], np.cumsum(step)[:-1] > 0, [False]])
@@ -251,57 +247,53 @@ def removals(texts: DataFrame, width: int) -> DataFrame:
                     kept += words[last:a]
                     last = b
                 kept += words[last:]
-                row = (i, other, len(words) - len(kept), edge[::2].tolist(), edge[1::2].tolist(), hashlib.sha256(b" ".join(kept)).hexdigest())
-                for col, v in zip(out, row, strict=True):
+                for col, v in zip(out, (row, i, len(words) - len(kept), edge[::2].tolist(), edge[1::2].tolist(), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
                     col.append(v)
             yield _arrow(schema, *out)
 
-    return texts.select("id", "twin", "text", "places").mapInArrow(run, schema)
-
-
-def twin_of(text) -> Column:
-    """Tells texts with one doc_id apart."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << 16))
+    return texts.select("row", "id", "text", "found").mapInArrow(run, schema)
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """id, 128 bits of the text's hash, twin, number of words, SHA-256 of the words joined."""
-    schema = "id long, h1 long, h2 long, n_words long, sha string, twin long"
+    """row, id, 128 bits of the text's hash, number of words, SHA-256 of the words joined."""
+    schema = "row long, id long, h1 long, h2 long, n_words long, sha string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            out = [[] for _ in range(6)]
-            for i, t, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = (t or "").encode()
+        for batch in slices(batches, 2000):
+            out = [[] for _ in range(4)]
+            for t in batch.column(2).to_pylist():
+                raw = t.encode()
                 words, h = raw.split(), xxhash.xxh3_128_intdigest(raw)
-                row = (_id(i), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), len(words), hashlib.sha256(b" ".join(words)).hexdigest(), other)
-                for col, v in zip(out, row, strict=True):
+                for col, v in zip(out, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), len(words), hashlib.sha256(b" ".join(words)).hexdigest()), strict=True):
                     col.append(v)
-            yield _arrow(schema, *out)
+            yield _arrow(schema, *batch.columns[:2], *out)
+
+    return docs.select("row", "id", "text").mapInArrow(run, schema)
+
 
-    return docs.select("doc_id", "text", twin_of(F.coalesce("text", F.lit(""))).alias("twin")).mapInArrow(run, schema)
+def rows_of(docs: DataFrame) -> DataFrame:
+    """row (a hash of doc_id and text), id (doc_id, with a stand-in for null), text (null: empty)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, starts and ends of the removed runs of words, kept_sha256, for each row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = written(facts(docs), "substring-facts")
-    earliest = known.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    known = known.join(earliest, ["h1", "h2"]).withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_words") >= width))
-    known = written(known.drop("least", "h1", "h2"), "substring-copies")
-    copies = known.groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id")
-    wanted = shared_marks(docs, width).join(copies, "id", "left_anti").groupBy("id").agg(F.collect_set("mark").alias("marks"))
-    ids = F.coalesce("doc_id", F.lit(NO_ID)).alias("of")
-    hit = docs.where("text is not null").select(ids, "text", twin_of(F.col("text")).alias("twin"))
-    hit = written(hit.join(wanted, F.col("of") == F.col("id")).select("id", "twin", "text", "marks"), "substring-texts")
-    places = repeated_windows(hit, width).groupBy("id", "twin").agg(F.flatten(F.collect_list("places")).alias("places"))
-    gone = removals(hit.select("id", "twin", "text").join(places, ["id", "twin"]), width).dropDuplicates(["id", "twin"])
-    out = known.withColumnRenamed("twin", "of_twin").withColumnRenamed("id", "of").join(gone, (F.col("of") == F.col("id")) & (F.col("of_twin") == F.col("twin")), "left")
+    ship(docs.sparkSession)
+    rows = rows_of(docs)
+    known = with_groups(written(facts(rows), "substring-facts"), ["h1", "h2"], [F.min("id").alias("least")])
+    known = written(known.withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_words") >= width)).drop("least", "h1", "h2"), "substring-copies")
+    wanted = shared_marks(rows.select("row", "text"), width).join(known.where("copy").select("row"), "row", "left_anti").groupBy("row").agg(F.collect_set("mark").alias("marks"))
+    found = repeated_windows(rows.join(wanted.withColumnRenamed("row", "of"), F.col("row") == F.col("of")), width)
+    found = found.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("id", "places")).alias("found"))
+    gone = removals(rows.join(found, F.col("row") == F.col("of")), width)
+    gone = gone.dropDuplicates(["row", "id"]).select(F.col("row").alias("_row"), F.col("id").alias("_id"), "n_removed", "starts", "ends", "kept_sha256")
+    out = known.join(gone, (F.col("row") == F.col("_row")) & (F.col("id") == F.col("_id")), "left")
     copy, none = F.col("copy"), F.array().cast("array<int>")
     return out.select(
-        F.when(F.col("of") != NO_ID, F.col("of")).alias("doc_id"),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.array(F.lit(0))).otherwise(F.coalesce("starts", none)).alias("starts"),

@@ -16,7 +16,7 @@ or earlier in the same one) is removed. Strings are judged on the input, and nev
    Marks whose different passages have more than CROWD bytes take another way, exact too, so that no task gets
    an unbounded group: their windows are compared by 128-bit hashes, with the earliest of each task first.
 
-Nulls: a null text is empty, a null doc_id comes before all others; rows that repeat doc_id and text are one
+Nulls: a null text is empty, a null doc_id comes before all others; rows that repeat a doc_id are one
 document each, and a tie removes nothing. Empty and short texts, and empty tables, come back as they are.
 Other columns are ignored.
 """
@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import table, written
-from .substrings import NO_ID, _id, span_hashes, twin_of
+from ._common import give_back, ship, slices, table, with_groups, written
+from .substrings import NO_ID, rows_of, span_hashes
 
 WIDTH, GRAM, CHUNK, CROWD, BLOCK = 100, 32, 1 << 21, 1 << 20, 1 << 18
 
@@ -157,16 +157,15 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 
 
 def shared_marks(docs: DataFrame, width: int) -> DataFrame:
-    """(id, mark) of texts with a mark that another run of windows has too."""
-    schema = "id long, mark long, known boolean"
+    """(row, mark) of the texts of `docs` (row, text) with a mark that another run of windows has too."""
+    schema = "row long, mark long, known boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: dict[bytes, int] = {}
             for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = (t or "").encode()
-                own[t] = min(own.get(t, _id(i)), _id(i))
-            ids, found, of, again = np.fromiter(own.values(), np.int64, len(own)), [], [], []
+                own.setdefault(t.encode(), i)
+            rows, found, of, again = np.fromiter(own.values(), np.int64, len(own)), [], [], []
             for at, part in _chunks(list(own)):
                 mark, doc, _, _, twice = marks(part, width)
                 again.append(twice)
@@ -180,17 +179,18 @@ def shared_marks(docs: DataFrame, width: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
             runs = np.diff(np.append(start, len(mark)))
             several = np.repeat((runs > 1) | (np.add.reduceat(np.concatenate(again)[order], start) > 0), runs)
-            yield _batch(schema, [ids[doc], mark, several])
+            yield _batch(schema, [rows[doc], mark, several])
             ahead = start[several[start]]  # for other batches' texts
-            yield _batch(schema, [ids[doc[ahead]], mark[ahead], np.zeros(len(ahead), bool)])
+            yield _batch(schema, [rows[doc[ahead]], mark[ahead], np.zeros(len(ahead), bool)])
+        give_back()
 
     sent = docs.mapInArrow(run, schema)
-    return sent.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("mark", "known"))).where("known or n > 1").select("id", "mark")
+    return sent.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("mark", F.when(F.col("known"), F.col("row"))))).where("known or n > 1").select("row", "mark")
 
 
 def passages(texts: DataFrame, width: int) -> DataFrame:
     """Runs of windows with a shared mark: the bytes, and the run's place. known: an equal one precedes it."""
-    schema = "mark long, h1 long, h2 long, id long, twin long, start long, windows long, body binary, twice boolean, known boolean"
+    schema = "mark long, h1 long, h2 long, id long, row long, start long, windows long, body binary, twice boolean, known boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -198,13 +198,13 @@ def passages(texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             earliest: dict[tuple[int, bytes], tuple] = {}
             gone, ties = [], []
-            for i, twin, t, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, row, t, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = t.encode()
                 mark, _, start, windows, twice = marks([raw], width)
                 some = np.flatnonzero(np.isin(mark, np.array(wanted, np.int64)))
                 for m, a, n, again in zip(*(x[some].tolist() for x in (mark, start, windows, twice)), strict=True):
                     body = raw[a : a + n + width - 1]
-                    key, me = (m, xxhash.xxh3_128_digest(body)), (i, a, twin, n, body, again)
+                    key, me = (m, xxhash.xxh3_128_digest(body)), (i, a, row, n, body, again)
                     old = earliest.get(key)
                     if old is None:
                         earliest[key] = me
@@ -220,13 +220,14 @@ def passages(texts: DataFrame, width: int) -> DataFrame:
             yield _batch(schema, [[k[0] for k, _ in each], h[:, 0], h[:, 1], [x[0] for x in v], [x[2] for x in v], [x[1] for x in v], [x[3] for x in v], [x[4] for x in v], [x[5] for x in v], [False] * len(v)])
             yield _batch(schema, [[x[0] for x in gone], [x[1] for x in gone], [0] * len(gone), [x[0] for x in gone], [x[2] for x in gone], [x[1] for x in gone], [x[3] for x in gone], [b""] * len(gone), [False] * len(gone), [True] * len(gone)])
 
-    found = texts.select("id", "twin", "text", "marks").mapInArrow(run, schema)
-    place, one, least = F.struct("id", "start"), W.partitionBy("mark", "known"), W.partitionBy("mark", "known", "h1", "h2")
-    found = found.repartition("mark", "known")
+    found = texts.select("id", "row", "text", "marks").mapInArrow(run, schema)
+    # rows that are settled are dealt by document
+    found = found.withColumn("by", F.when(F.col("known"), F.col("row"))).repartition("mark", "by")
+    place, one, least = F.struct("id", "start"), W.partitionBy("mark", "by"), W.partitionBy("mark", "by", "h1", "h2")
     found = found.withColumn("gone", F.col("known") | (place > F.min(place).over(least)))
     open_ = ~F.col("gone")
     found = found.withColumn("many", F.sum(open_.cast("int")).over(one)).withColumn("bulk", F.sum(F.when(open_, F.octet_length("body"))).over(one)).withColumn("any", F.max("twice").over(one))
-    found = found.where(F.col("gone") | (F.col("many") > 1) | F.col("any")).drop("any")
+    found = found.where(F.col("gone") | (F.col("many") > 1) | F.col("any")).drop("any", "by")
     return found.withColumn("body", F.when(open_, F.col("body")))
 
 
@@ -248,9 +249,9 @@ def _narrowed(rows: list[tuple], width: int) -> list[tuple]:
     stop = np.flatnonzero(twice & np.concatenate([~twice[1:] | (row[1:] != row[:-1]), [True]])) + 1
     out = []
     for a, b in zip(edge.tolist(), stop.tolist(), strict=True):
-        i, twin, start, _, body = rows[row[a]]
+        i, of, start, _, body = rows[row[a]]
         k = int(at[a] - first[row[a]])
-        out.append((i, twin, start + k, b - a, body[k : k + b - a + width - 1]))
+        out.append((i, of, start + k, b - a, body[k : k + b - a + width - 1]))
     return out
 
 
@@ -268,7 +269,7 @@ def _earliest(rows: list[tuple], gone: list[tuple]) -> list[tuple]:
 
 
 def _repeats(rows: list[tuple], width: int) -> Iterator[tuple[int, int, int]]:
-    """(id, twin, start) of the windows of passages (id, twin, start, windows, body) that are not the first of their kind."""
+    """(id, row, start) of the windows of passages (id, row, start, windows, body) that are not the first of their kind."""
     if not rows:
         return
     raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
@@ -304,7 +305,7 @@ def _repeats(rows: list[tuple], width: int) -> Iterator[tuple[int, int, int]]:
         yield int(ids[k]), int(rows[row[k]][1]), int(starts[k])
 
 
-GONE = "id long, twin long, start long, windows long"
+GONE = "id long, row long, start long, windows long"
 
 
 def sorted_repeats(found: DataFrame, width: int) -> DataFrame:
@@ -334,12 +335,12 @@ def sorted_repeats(found: DataFrame, width: int) -> DataFrame:
         if rows:
             yield emit(rows)
 
-    return found.select("mark", "id", "twin", "start", "windows", "body").repartition("mark").sortWithinPartitions("mark", "id", "start").mapInArrow(run, GONE)
+    return found.select("mark", "id", "row", "start", "windows", "body").repartition("mark").sortWithinPartitions("mark", "id", "start").mapInArrow(run, GONE)
 
 
 def hashed_repeats(found: DataFrame, width: int) -> DataFrame:
     """The same for marks with too many passages: windows are compared by hash, one row a window and batch."""
-    schema = "h1 long, h2 long, id long, twin long, start long, known boolean"
+    schema = "h1 long, h2 long, id long, row long, start long, known boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -347,9 +348,9 @@ def hashed_repeats(found: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             least: dict[bytes, tuple] = {}
             gone, ties = [], []
-            for i, twin, start, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, row, start, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k in range(n):
-                    h, me = xxhash.xxh3_128_digest(body[k : k + width]), (i, start + k, twin)
+                    h, me = xxhash.xxh3_128_digest(body[k : k + width]), (i, start + k, row)
                     old = least.setdefault(h, me)
                     if old[:2] > me[:2]:
                         least[h] = me
@@ -364,62 +365,58 @@ def hashed_repeats(found: DataFrame, width: int) -> DataFrame:
             yield _batch(schema, [[x[0] for x in gone], [x[1] for x in gone], [x[0] for x in gone], [x[2] for x in gone], [x[1] for x in gone], [True] * len(gone)])
 
     place = F.struct("id", "start")
-    rows = found.select("id", "twin", "start", "windows", "body").mapInArrow(run, schema)
-    rows = rows.withColumn("gone", F.col("known") | (place > F.min(place).over(W.partitionBy("h1", "h2", "known"))))
-    return rows.where("gone").select("id", "twin", "start", F.lit(1).cast("long").alias("windows"))
+    rows = found.select("id", "row", "start", "windows", "body").mapInArrow(run, schema)
+    rows = rows.withColumn("gone", F.col("known") | (place > F.min(place).over(W.partitionBy("h1", "h2", F.when(F.col("known"), F.col("row"))))))
+    return rows.where("gone").select("id", "row", "start", F.lit(1).cast("long").alias("windows"))
 
 
-def facts(docs: DataFrame) -> DataFrame:
-    """id, 128 bits of the text's hash, number of bytes, their SHA-256, twin."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), twin_of(text).alias("twin")
-    )
+def facts(rows: DataFrame) -> DataFrame:
+    """row, id, 128 bits of the text's hash, number of bytes, their SHA-256."""
+    return rows.select("row", "id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
 
 
 def removals(texts: DataFrame, width: int) -> DataFrame:
-    schema = "id long, twin long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string"
+    """What is left of `texts` (row, id, text, found: ids, starts and windows)."""
+    schema = "row long, id long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in range(6)]
-            for i, twin, t, starts, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, i, t, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = t.encode()
                 step = np.zeros(len(raw) + 1, np.int64)
-                a = np.array(starts, np.int64)
+                a, windows = (np.array([x[k] for x in found if x["id"] == i], np.int64) for k in ("start", "windows"))
                 np.add.at(step, a, 1)
-                np.add.at(step, a + np.array(windows, np.int64) + width - 1, -1)
+                np.add.at(step, a + windows + width - 1, -1)
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(step)[:-1] > 0, [False]])))
                 a, b = edge[::2].tolist(), edge[1::2].tolist()
                 kept = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)], strict=True))
-                for col, v in zip(out, (i, twin, len(raw) - len(kept), a, b, hashlib.sha256(kept).hexdigest()), strict=True):
+                for col, v in zip(out, (row, i, len(raw) - len(kept), a, b, hashlib.sha256(kept).hexdigest()), strict=True):
                     col.append(v)
             yield _batch(schema, out)
 
-    return texts.select("id", "twin", "text", "starts", "windows").mapInArrow(run, schema)
+    return texts.select("row", "id", "text", "found").mapInArrow(run, schema)
 
 
 def dedup_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, starts and ends of the removed runs of bytes, kept_sha256, for each row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = written(facts(docs), "bytes-facts")
-    earliest = known.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    known = known.join(earliest, ["h1", "h2"]).withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_bytes") >= width))
-    known = written(known.drop("least", "h1", "h2"), "bytes-copies")
-    copies = known.groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id")
-    wanted = shared_marks(docs, width).join(copies, "id", "left_anti").groupBy("id").agg(F.collect_set("mark").alias("marks"))
-    texts = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), twin_of(F.col("text")).alias("twin"), "text")
+    ship(docs.sparkSession)
+    rows = rows_of(docs)
+    known = with_groups(written(facts(rows), "bytes-facts"), ["h1", "h2"], [F.min("id").alias("least")])
+    known = written(known.withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_bytes") >= width)).drop("least", "h1", "h2"), "bytes-copies")
+    wanted = shared_marks(rows.select("row", "text"), width).join(known.where("copy").select("row"), "row", "left_anti").groupBy("row").agg(F.collect_set("mark").alias("marks"))
     # texts are read again at the end, so that those with shared marks needn't be kept till then
-    found = written(passages(texts.join(wanted, "id"), width), "bytes-passages")
+    found = written(passages(rows.join(wanted.withColumnRenamed("row", "of"), F.col("row") == F.col("of")), width), "bytes-passages")
     open_ = found.where(~F.col("gone"))
     crowded = F.col("bulk") > CROWD
-    gone = found.where("gone").select("id", "twin", "start", "windows").union(sorted_repeats(open_.where(~crowded), width)).union(hashed_repeats(open_.where(crowded), width))
-    gone = gone.groupBy("id", "twin").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
-    gone = removals(texts.join(gone, ["id", "twin"]), width).dropDuplicates(["id", "twin"])
-    out = known.withColumnRenamed("twin", "of_twin").withColumnRenamed("id", "of").join(gone, (F.col("of") == F.col("id")) & (F.col("of_twin") == F.col("twin")), "left")
+    gone = found.where("gone").select("id", "row", "start", "windows").union(sorted_repeats(open_.where(~crowded), width)).union(hashed_repeats(open_.where(crowded), width))
+    gone = gone.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("id", "start", "windows")).alias("found"))
+    gone = removals(rows.join(gone, F.col("row") == F.col("of")), width)
+    gone = gone.dropDuplicates(["row", "id"]).select(F.col("row").alias("_row"), F.col("id").alias("_id"), "n_removed", "starts", "ends", "kept_sha256")
+    out = known.join(gone, (F.col("row") == F.col("_row")) & (F.col("id") == F.col("_id")), "left")
     copy, none = F.col("copy"), F.array().cast("array<long>")
     return out.select(
-        F.when(F.col("of") != NO_ID, F.col("of")).alias("doc_id"),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.array(F.lit(0).cast("long"))).otherwise(F.coalesce("starts", none)).alias("starts"),

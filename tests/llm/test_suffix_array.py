@@ -55,7 +55,7 @@ def test_whole_table_against_brute_force(spark):
     assert got == want and sum(x[1] for x in got.values()) > 10_000
 
 
-@pytest.mark.parametrize(("letters", "crowd"), [(1, 1 << 20), (2, 1 << 20), (2, 1), (4, 1 << 20)])
+@pytest.mark.parametrize(("letters", "crowd"), [(1, 1 << 20), (2, 1 << 20), (2, 1), (2, 200), (4, 1 << 20), (4, 200)])
 def test_small_alphabets(spark, letters, crowd, monkeypatch):
     monkeypatch.setattr(S, "CROWD", crowd if crowd > 1 else 0)
     rng = random.Random(letters)
