@@ -6,13 +6,15 @@ import ctypes
 from collections.abc import Iterator
 from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.shared import ranked, ship, with_groups, written
 
-__all__ = ["GAP", "SMALL_ROWS", "WORD", "give_back", "ranked", "ship", "slices", "table", "with_groups", "word_array", "word_count", "written"]
+__all__ = ["GAP", "SMALL_ROWS", "WORD", "byte_slices", "give_back", "ranked", "ship", "slices", "table", "with_groups", "word_array", "word_count", "written"]
 
 #: A word, in Java's and Python's syntax; bytes.split() finds the same words in UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +37,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     give_back()
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about `size` bytes of text, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def give_back() -> None:
     """Returns what Arrow and the C library hold of freed memory, so that idle workers stay small."""
     pa.default_memory_pool().release_unused()

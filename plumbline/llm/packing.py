@@ -7,10 +7,12 @@ inner product with what is still free. When nothing fits whole, the item with th
 what is free. A sequence that can't be filled (segment or loss limit, or no items left) is laid out anew as
 sequences whose lengths are powers of two, which need no padding.
 
-Documents are dealt to groups of bounded bytes and rows by a hash of doc_id, and a group is packed in one
-task. The result depends on the table alone, not on its files. Words between ASCII white space are
-tokenised independently of each other by the tokenizer used, so a worker process keeps the ids of the words
-that it has seen, up to CACHE_WORDS of at most CACHE_BYTES; beyond that it starts anew and looks words up again.
+Documents are dealt to groups of bounded bytes and rows by a hash of doc_id and text, and a group is packed in
+one task; the result depends on the table alone, not on its files. Only rows that repeat one another can crowd a
+group; beyond MOST_BYTES of ids it is packed in parts. Words between ASCII white space are tokenised
+independently of each other by the tokenizer used, so each distinct word of some documents is looked up once, and
+a worker process keeps the ids of words that it has seen, up to CACHE_WORDS of at most CACHE_BYTES; beyond that it
+starts anew and looks words up again.
 
 Nulls: a null text is empty and gives its end id alone; rows with a null doc_id are packed like others, and
 repeated rows stay separate. An empty table gives no pieces. Other columns are ignored.
@@ -24,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ship, slices, table
+from ._common import byte_slices, give_back, ship, table
 
 LIMIT_TOKENS, LIMIT_SEGMENTS = 4096, 64
 GROUP_BYTES, GROUP_ROWS = 8 << 20, 10_000
-CACHE_WORDS, CACHE_BYTES, CHUNK_DOCS = 1_000_000, 64, 64
+MOST_BYTES, CHUNK_BYTES, GATHERED = 1 << 28, 12 << 20, 200_000
+CACHE_WORDS, CACHE_BYTES = 500_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -94,14 +98,20 @@ def laid_out(chosen: list[tuple[int, int, int]], limit: int) -> Iterator[list[tu
         yield out
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """Words without white space as Python strings, by way of one long string."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n") if len(words) else []
+
+
 class WordTokenizer:
     """Token ids, as little-endian 32-bit bytes, of whole texts, by way of the ids of their words.
 
     For vocabularies of lower-cased words with word-end tokens, whose pattern keeps runs of letters together.
     """
 
-    #: Latin letters, then other ASCII signs that can't begin a contraction or a special token.
+    #: Latin letters, then other ASCII signs that can't begin a contraction or a special token; and those with one common sign.
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{|}~]*)")
+    PLAIN, SIGNS = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,|]?$", ".,|"
 
     def __init__(self, path: str, end: int, most: int | None = None):
         from tokenizers import Tokenizer
@@ -115,7 +125,7 @@ class WordTokenizer:
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.end = np.array([end], "<u4").tobytes()
         self.most = most or CACHE_WORDS
-        self.seen: dict[bytes, bytes] = {}
+        self.seen: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -132,58 +142,65 @@ class WordTokenizer:
             for w, a, b in zip(part, at[:-1], at[1:], strict=True):
                 self.parts[w] = raw[4 * a : 4 * b]
 
-    def _halves(self, x: str) -> tuple[str, str] | None:
-        """A word's letters in lower case, and the signs after them."""
-        if x.isascii():
-            if x.isalpha():
-                return x.lower(), ""
-            if x[-1] in ".,|" and x[:-1].isalpha():
-                return x[:-1].lower(), x[-1]
-        m = self.SIMPLE.fullmatch(x)
-        return m and (m[1].lower(), m[2])
-
-    def learn(self, words: list[bytes]) -> None:
-        split = [self._halves(w.decode("utf-8", "replace")) for w in words]
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        parts, tails, seen = self.parts, self.tails, self.seen
-        self._learn_parts(list({m[0] for m in split if m}.difference(parts)))
-        for w, m in zip(words, split, strict=True):
-            if not m:
-                seen[w] = self._ids(self.tok, w.decode("utf-8", "replace")).tobytes()
-            elif not m[1]:
-                seen[w] = parts[m[0]]
-            else:
-                tail = tails.get(m[1])
-                if tail is None:
-                    tail = self._ids(self.tok, m[1]).tobytes()
-                    if len(m[1]) < 4:
-                        tails[m[1]] = tail
-                seen[w] = parts[m[0]] + tail
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        get = self.seen.get
-        for k in range(0, len(texts), CHUNK_DOCS):
-            words = [(x or "").encode().split() for x in texts[k : k + CHUNK_DOCS]]
-            ids = [list(map(get, w)) for w in words]
-            gaps, new = [], set()
-            for w, found in zip(words, ids, strict=True):
-                at, holes = -1, []
-                for _ in range(found.count(None)):
-                    holes.append(at := found.index(None, at + 1))
-                    new.add(w[at])
-                gaps.append(holes)
-            if len(self.seen) + len(new) > self.most:
-                self.seen.clear()
-            self.learn(list(new))
-            for w, found, holes in zip(words, ids, gaps, strict=True):
-                for at in holes:
-                    found[at] = get(w[at])
-                found.append(self.end)
-                yield b"".join(found)
-            for w in new:
-                if len(w) > CACHE_BYTES:
-                    del self.seen[w]
+    def _tail(self, signs: str) -> bytes:
+        tail = self.tails.get(signs)
+        if tail is None:
+            tail = self._ids(self.tok, signs).tobytes()
+            if len(signs) < 4:
+                self.tails[signs] = tail
+        return tail
+
+    def learn(self, words: list[str]) -> None:
+        split = [self.SIMPLE.fullmatch(w) for w in words]
+        halves = [(m[1].lower(), m[2]) if m else None for m in split]
+        self._learn_parts(list({h[0] for h in halves if h}.difference(self.parts)))
+        for w, h in zip(words, halves, strict=True):
+            self.seen[w] = self.parts[h[0]] + self._tail(h[1]) if h else self._ids(self.tok, w).tobytes()
+
+    def of_words(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of the distinct words."""
+        for kept in (self.parts, self.seen):
+            if len(kept) > self.most:
+                kept.clear()
+        self.seen[""] = b""
+        low = pc.utf8_lower(words)
+        body = pc.ascii_rtrim(low, characters=self.SIGNS)
+        plain = pc.match_substring_regex(words, self.PLAIN).to_numpy(zero_copy_only=False)
+        signed = pc.not_equal(pc.binary_length(low), pc.binary_length(body))
+        sign = pc.index_in(pc.if_else(signed, pc.utf8_slice_codeunits(low, -1), ""), pa.array(["", *self.SIGNS]))
+        sign = sign.to_numpy(zero_copy_only=False)[plain].tolist()
+        bodies = _strings(body.filter(pa.array(plain)))
+        self._learn_parts(list(set(bodies).difference(self.parts)))
+        parts, tail = self.parts, [self._tail(x) for x in ["", *self.SIGNS]]
+        out = np.empty(len(words), object)
+        out[plain] = [parts[b] + tail[x] if x else parts[b] for b, x in zip(bodies, sign, strict=True)]
+        others = words.filter(pa.array(~plain)).to_pylist()
+        self.learn(list(set(others).difference(self.seen)))
+        out[~plain] = list(map(self.seen.get, others))
+        for w in others:
+            if len(w) > CACHE_BYTES:
+                self.seen.pop(w, None)
+        return out.tolist()
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text and the end id. Each distinct word is looked up once."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        ids = self.of_words(coded.dictionary)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])[:-1]
+        words, edge = coded.indices.to_numpy(), split.offsets.to_numpy()
+        at = 0
+        while at < len(texts):  # some texts' ids at a time
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + GATHERED, "right")) - 1)
+            word = words[edge[at] : edge[to]]
+            n = size[word]
+            place = np.concatenate([[0], np.cumsum(n)])
+            tokens = pool[np.repeat(first[word] - place[:-1], n) + np.arange(place[-1])]
+            ends = place[edge[at : to + 1] - edge[at]].tolist()
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                yield tokens[a:b].tobytes() + self.end
+            at = to
 
     #: One for each worker process, kept from task to task.
     made: dict[tuple, WordTokenizer] = {}
@@ -195,9 +212,10 @@ class WordTokenizer:
         return cls.made[args]
 
 
-def _pack_group(group: int, docs: list[tuple], limits: tuple[int, int, int]) -> pa.RecordBatch:
+def _pack_group(seq: int, docs: list[tuple], limits: tuple[int, int, int]) -> tuple[pa.RecordBatch, int]:
+    """The pieces of docs (doc_id, ids, loss-bearing tokens), in sequences from seq on, and the next sequence's id."""
     docs.sort(key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
-    limit, rows, seq = limits[0], [], group << 32
+    limit, rows = limits[0], []
     tails, where = [], []
     for k, (_, ids, loss) in enumerate(docs):
         n = len(ids) // 4
@@ -224,7 +242,7 @@ def _pack_group(group: int, docs: list[tuple], limits: tuple[int, int, int]) ->
         n = len(ids) // 4
         for col, v in zip(out, (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, s, offset, loss * length // n), strict=True):
             col.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [c.split()[0] for c in PIECES.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [c.split()[0] for c in PIECES.split(", ")]), seq
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int, limits: tuple[int, int, int] = (LIMIT_TOKENS, LIMIT_SEGMENTS, LIMIT_TOKENS), loss_share: str | None = None, cache_words: int | None = None) -> DataFrame:
@@ -240,15 +258,28 @@ def pack(docs: DataFrame, tokenizer: str, end: int, limits: tuple[int, int, int]
     groups = max(1, -(-size["bytes"] // GROUP_BYTES), -(-size["rows"] // GROUP_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, by_group = WordTokenizer.of(tokenizer, end, cache_words), {}
-        for batch in slices(batches):
-            doc_ids, texts, shares, groups = (c.to_pylist() for c in batch.columns)
-            for doc_id, ids, share, group in zip(doc_ids, coder.encode(texts), shares, groups, strict=True):
+        coder = WordTokenizer.of(tokenizer, end, cache_words)
+        by_group: dict[int, list[tuple]] = {}
+        held: dict[int, int] = {}
+        following: dict[int, int] = {}
+
+        def packed(group: int) -> pa.RecordBatch:
+            out, following[group] = _pack_group(following.get(group, group << 32), by_group.pop(group), limits)
+            held[group] = 0
+            return out
+
+        for batch in byte_slices(batches, 1, CHUNK_BYTES):
+            doc_ids, shares, of = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for doc_id, ids, share, group in zip(doc_ids, coder.encode(batch.column(1)), shares, of, strict=True):
                 by_group.setdefault(group, []).append((doc_id, ids, int(len(ids) // 4 * min(1.0, max(0.0, share)))))
+                held[group] = held.get(group, 0) + len(ids) + 100
+                if held[group] > MOST_BYTES:  # rows that repeat one another
+                    yield packed(group)
         for group in sorted(by_group):
-            yield _pack_group(group, by_group.pop(group), limits)
+            yield packed(group)
+        give_back()
 
-    dealt = docs.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = docs.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     return dealt.repartition(groups, "group").mapInArrow(run, PIECES)
 
 
