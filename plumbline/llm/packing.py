@@ -182,8 +182,9 @@ class WordTokenizer:
                 self.seen.pop(w, None)
         return out.tolist()
 
-    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id. Each distinct word is looked up once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
         ids = self.of_words(coded.dictionary)
