@@ -1,12 +1,11 @@
 """Quality rules: simple text statistics, and bands of n-gram perplexity by language.
 
-The language model is a modified Kneser-Ney model of UTF-8 bytes, one for each language. Executors count the
-n-grams of the highest order, with start marks, over all texts; Spark adds them up, derives the lower orders'
-continuation counts and the discounts, and interpolates probabilities for all n-grams seen. The model travels as
-sorted arrays of keys with log probabilities and back-off weights, found by hash and verified by key. If a
-language table has more than ENTRIES n-grams of one order, those with the smallest counts are left to back-off,
-so the arrays that are broadcast have a fixed bound. Bytes make it bounded in practice: a natural language has
-a few million 5-grams at any corpus size.
+The language model is a modified Kneser-Ney model of UTF-8 bytes, one for each language, with no bound on its
+n-grams. Executors count the n-grams of the highest order, with start marks, over all texts; Spark adds them up,
+derives the lower orders' continuation counts and the discounts, and interpolates probabilities for all n-grams
+seen. The model is written to the shared folder; executors fetch those files by Spark's file distribution, past
+the driver's memory, and lay each language's n-grams out once as sorted arrays of keys and log probabilities on
+disk, which their workers map and search by hash. Every n-gram of a scored text is in the model, as it was counted.
 
 A document is rejected if a base rule fails, or if the logarithm of its perplexity lies outside its language's
 band: the median, plus and minus `width` times the spread between quartiles as a normal deviation.
@@ -17,18 +16,21 @@ rows get equal results, an empty table none. Other columns are ignored. Texts of
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SMALL_ROWS, table, written
+from ._common import SMALL_ROWS, byte_slices, give_back, ship, table, written
 
 ORDER, ENTRIES, CHUNK, SLOT_BITS = 5, 1 << 22, 1 << 22, 21
-#: Models that a worker holds at a time.
+#: Languages whose model a worker has open at a time.
 LANGUAGES = 16
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MASK = [0, *((1 << (8 * k)) - 1 for k in range(1, ORDER + 1))]
@@ -63,10 +65,11 @@ def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def _by_language(batch: pa.RecordBatch) -> dict:
+def _by_language(batch: pa.RecordBatch, by: int = 1) -> dict:
+    """Rows by their first columns: by the first alone, or by `by` of them as a tuple."""
     out: dict = {}
     for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        out.setdefault(row[0], []).append(row[1:])
+        out.setdefault(row[0] if by == 1 else row[:by], []).append(row[by:])
     return out
 
 
@@ -74,7 +77,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 1, 2 * CHUNK):
             for lang, rows in _by_language(batch).items():
                 for part in _chunks([(t or "").encode() for (t,) in rows]):
                     key, n = np.unique(grams(part)[0], return_counts=True)
@@ -173,22 +176,15 @@ class Model:
 
 
 def collected(orders: list[DataFrame]) -> dict:
-    """language -> arrays by order. At most ENTRIES rows of each order come to the driver."""
+    """language -> arrays by order on the driver, for texts outside the corpus (with back-off). Only for models of at most ENTRIES n-grams of one order."""
     out: dict = {}
     for k, t in enumerate(orders):
         if (rows := t.count()) > ENTRIES:
-            steps = t.groupBy(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).alias("b")).count().collect()
-            total, least = 0, 0
-            for r in sorted(steps, key=lambda r: -r["b"]):
-                total += r["count"]
-                if total > ENTRIES:
-                    least = 2 ** (r["b"] + 1)
-                    break
-            t = t.where(F.col("n") >= least)
+            raise ValueError(f"{rows} n-grams of one order are too many for the driver")
         x = t.select("lang", "gram", F.col("logp").cast("float"), F.col("loggamma").cast("float")).toArrow() if rows else None
         if x is None:
             continue
-        langs = np.array([s or "" for s in x.column(0).to_pylist()]) if x.num_rows else np.array([])
+        langs = np.array([s or "" for s in x.column(0).to_pylist()])
         null = np.asarray(x.column(0).is_null())
         gram, logp, gamma = (x.column(c).to_numpy() for c in (1, 2, 3))
         for lang, isnull in {(a, bool(b)) for a, b in zip(langs.tolist(), null.tolist(), strict=True)}:
@@ -199,6 +195,52 @@ def collected(orders: list[DataFrame]) -> dict:
     return out
 
 
+def published(top: DataFrame) -> list[str]:
+    """Writes the model of the highest order (lang, gram, logp) and has Spark send its files to executors; the files' names."""
+    spark = top.sparkSession
+    model = written(top.select(_key(F.col("lang")).alias("key"), "gram", F.col("logp").cast("float").alias("logp")).repartitionByRange("key", "gram"), "kn-model")
+    files = sorted(model.inputFiles())
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return [f.rsplit("/", 1)[1] for f in files]
+
+
+def _key(lang: Column) -> Column:
+    """A language as the name of a file."""
+    return F.when(lang.isNull(), "none").otherwise(F.lower(F.hex(F.xxhash64(lang))))
+
+
+class Shelf:
+    """One language's n-grams of the highest order: sorted keys and log probabilities, mapped from files that the executor's workers share."""
+
+    def __init__(self, files: list[str], key: str):
+        from pyspark import SparkFiles
+
+        paths = [Path(SparkFiles.get(f)) for f in files]
+        base = paths[0].parent / f"kn-{zlib.crc32(files[0].encode()):08x}-{key}"
+        names = [base.with_suffix(".keys.npy"), base.with_suffix(".logp.npy")]
+        if not names[1].exists():
+            import pyarrow.dataset as ds
+
+            x = ds.dataset([str(p) for p in paths], format="parquet").to_table(columns=["gram", "logp"], filter=ds.field("key") == key)
+            gram, logp = (x.column(k).to_numpy() for k in range(2))
+            order = np.argsort(gram)
+            for name, values in zip(names, (gram[order], logp[order]), strict=True):  # complete before it has its name
+                part = name.with_suffix(f".{os.getpid()}.npy")
+                np.save(part, values)
+                os.replace(part, name)
+        self.keys, self.values = (np.load(n, mmap_mode="r") for n in names)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32 if len(self.keys) < 1 << 31 else np.int64)
+        for k in range(0, len(self.keys), CHUNK):
+            self.slots[Model._slot(self.keys[k : k + CHUNK])] = np.arange(k, min(k + CHUNK, len(self.keys)))
+
+    def logp(self, key: np.ndarray) -> np.ndarray:
+        at = self.slots[Model._slot(key)].astype(np.int64)
+        miss = np.flatnonzero(self.keys[at] != key)
+        at[miss] = np.searchsorted(self.keys, key[miss])
+        return self.values[at]
+
+
 def base_rules(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.encode().split()
@@ -217,39 +259,39 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
 SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
 
-def scored(docs: DataFrame, models: dict) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-    made: dict = {}
+def scored(docs: DataFrame, files: list[str]) -> DataFrame:
+    made: dict[str, Shelf] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 3, CHUNK):
             out = [[] for _ in range(8)]
-            for lang, rows in _by_language(batch).items():
-                if lang not in made:
-                    if len(made) >= LANGUAGES:
-                        made.clear()
-                    made[lang] = Model(sent.value[lang])
-                at = 0
-                for part in _chunks([(t or "").encode() for _, t in rows]):
-                    key, starts = grams(part)
-                    total = np.concatenate([[0.0], np.cumsum(made[lang].logp(key), dtype=np.float64)])
-                    for j in range(len(part)):
-                        doc_id, text = rows[at]
-                        at += 1
-                        n = int(starts[j + 1] - starts[j])
-                        row = (doc_id, lang, *base_rules(text or ""), float(total[starts[j]] - total[starts[j + 1]]) / n if n else None)
-                        for col, v in zip(out, row, strict=True):
-                            col.append(v)
+            for (lang, key), rows in _by_language(batch, 2).items():
+                raw = [(t or "").encode() for _, t in rows]
+                found, starts = grams(raw)
+                if len(found):
+                    if key not in made:
+                        if len(made) >= LANGUAGES:
+                            made.clear()
+                        made[key] = Shelf(files, key)
+                    total = np.concatenate([[0.0], np.cumsum(made[key].logp(found), dtype=np.float64)])
+                for j, (doc_id, text) in enumerate(rows):
+                    n = int(starts[j + 1] - starts[j])
+                    row = (doc_id, lang, *base_rules(text or ""), float(total[starts[j]] - total[starts[j + 1]]) / n if n else None)
+                    for col, v in zip(out, row, strict=True):
+                        col.append(v)
             types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
+        give_back()
 
-    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+    lang = F.col("lang").cast("string")
+    return docs.select(lang.alias("lang"), _key(lang).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
 
 
 def quality(docs: DataFrame, width: float = 5.0) -> DataFrame:
     """The base figures, base_failed, log_perplexity and kept for each row of docs."""
-    models = collected(kneser_ney(written(count_grams(docs), "kn-counts")))
-    x = written(scored(docs, models), "quality")
+    ship(docs.sparkSession)
+    files = published(kneser_ney(written(count_grams(docs), "kn-counts"))[-1])
+    x = written(scored(docs, files), "quality")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     x = x.withColumn("base_failed", failed)
     q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
