@@ -3,17 +3,17 @@
 Rows are aggregated once: sums of each column by level, and weights by pair of levels. All iteration is then on
 vectors of level length, by preconditioned conjugate gradients on the dummies' cross product; rows come back
 only when residuals are asked for. Up to EDGES pairs of levels the system is solved on the driver; beyond that,
-each product is a join of the cells to the level vectors and an aggregation for each term.
+each product is a join of the written cells to the level vectors for each term, and one aggregation by level.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULTS
@@ -83,6 +83,8 @@ class Absorbed:
 
     def gram(self, v: np.ndarray) -> np.ndarray:
         """The dummies' cross product times level vectors."""
+        if self.distributed:
+            return self._distributed_gram(v)
         out = self.diagonal[:, None] * v
         for a, b, x, _ in self.edges:
             for c in range(v.shape[1]):
@@ -90,6 +92,8 @@ class Absorbed:
         return out
 
     def dense(self) -> np.ndarray:
+        if self.distributed:
+            return np.concatenate([self.gram(np.eye(self.total)[:, k : k + 64]) for k in range(0, self.total, 64)], 1)
         out = np.diag(self.diagonal)
         for a, b, x, _ in self.edges:
             np.add.at(out, (a, b), x)
@@ -102,49 +106,37 @@ class Absorbed:
             return np.zeros((self.total, rhs.shape[1]))
         if len(self.terms) == 1:
             return rhs / np.where(self.diagonal > 0, self.diagonal, np.inf)[:, None]
-        if self.distributed:
-            return self._solve_distributed(rhs)
-        if self.total <= DENSE and init is None:
+        if self.total <= DENSE and init is None and not self.distributed:
             return pinv(self.dense())[0] @ rhs
         return cgsolve(self.gram, rhs, self.eps, init, self.diagonal)
 
-    def _solve_distributed(self, rhs: np.ndarray, rounds: int = 500) -> np.ndarray:
-        """The same iteration with vectors as tables: cells of the terms' keys are joined to the current direction and summed by level."""
-        spark, df, terms = self.frame.df.sparkSession, self.frame.df, self.terms
+    @cached_property
+    def _cells(self) -> DataFrame:
+        """Distinct combinations of levels, named by their places in a level vector, with slopes and summed weights."""
+        df, terms = self.frame.df, self.terms
         cells = df.select(*[F.col(t.key) for t in terms], F.col("_w"), *[_slope(t).alias(f"_v{i}") for i, t in enumerate(terms)])
-        cells = written(cells.groupBy(*[t.key for t in terms], *[f"_v{i}" for i in range(len(terms))]).agg(F.sum("_w").alias("_w")), "cells")
-        k = rhs.shape[1]
-
-        def product(v: np.ndarray) -> np.ndarray:
-            x = cells
-            for i, t in enumerate(terms):
-                part = pd.DataFrame(v[self.first[i] : self.first[i + 1]], columns=[f"p{i}_{c}" for c in range(k)])
-                part.insert(0, t.key, self.levels[i]["level"])
-                part = spark.createDataFrame(part)
-                x = x.join(F.broadcast(part) if len(self.levels[i]) <= BROADCAST else part, t.key)
-            total = [sum((F.col(f"_v{i}") * F.col(f"p{i}_{c}") for i in range(len(terms))), F.lit(0.0)) for c in range(k)]
-            x = written(x.select(*[t.key for t in terms], "_w", *[f"_v{i}" for i in range(len(terms))], *[total[c].alias(f"u{c}") for c in range(k)]), "cell-products")
-            out = np.zeros((self.total, k))
-            for i, t in enumerate(terms):
-                got = x.groupBy(t.key).agg(*[F.sum(F.col("_w") * F.col(f"_v{i}") * F.col(f"u{c}")).alias(f"u{c}") for c in range(k)]).toPandas()
-                at = pd.Index(self.levels[i]["level"]).get_indexer(got[t.key]) + self.first[i]
-                out[at] = got[[f"u{c}" for c in range(k)]].to_numpy(float)
-            return out
-
-        scale = np.where(self.diagonal > 0, 1 / np.where(self.diagonal > 0, self.diagonal, 1), 0)[:, None]
-        x, r = np.zeros_like(rhs), rhs.copy()
-        z = scale * r
-        p, rz, goal = z.copy(), (r * z).sum(0), self.eps * np.maximum(np.linalg.norm(rhs, axis=0), 1e-300)
-        for _ in range(rounds):
-            if (np.linalg.norm(r, axis=0) <= goal).all():
-                break
-            q = product(p)
-            step = rz / np.maximum((p * q).sum(0), 1e-300)
-            x, r = x + step * p, r - step * q
-            z = scale * r
-            new = (r * z).sum(0)
-            p, rz = z + new / np.maximum(rz, 1e-300) * p, new
-        return x
+        cells = cells.groupBy(*[t.key for t in terms], *[f"_v{i}" for i in range(len(terms))]).agg(F.sum("_w").alias("_w"))
+        for i, t in enumerate(terms):
+            part = df.sparkSession.createDataFrame(pd.DataFrame({f"_l{i}": self.levels[i]["level"], f"_at{i}": np.arange(self.first[i], self.first[i + 1])}))
+            cells = cells.join(F.broadcast(part) if len(self.levels[i]) <= BROADCAST else part, F.col(t.key) == F.col(f"_l{i}"))
+        return written(cells.select("_w", *[c for i in range(len(terms)) for c in (f"_at{i}", f"_v{i}")]), "cells")
+
+    def _distributed_gram(self, v: np.ndarray) -> np.ndarray:
+        """The product with vectors as tables: cells are joined to them once for each term, and summed by level in one aggregation."""
+        spark, k, x = self.frame.df.sparkSession, v.shape[1], self._cells
+        for i in range(len(self.terms)):
+            part = pd.DataFrame(v[self.first[i] : self.first[i + 1]], columns=[f"p{i}_{c}" for c in range(k)])
+            part.insert(0, f"_of{i}", np.arange(self.first[i], self.first[i + 1]))
+            part = spark.createDataFrame(part)
+            x = x.join(F.broadcast(part) if len(part.columns) * len(self.levels[i]) <= BROADCAST else part, F.col(f"_at{i}") == F.col(f"_of{i}"))
+        n = range(len(self.terms))
+        total = [F.col("_w") * sum((F.col(f"_v{i}") * F.col(f"p{i}_{c}") for i in n), F.lit(0.0)) for c in range(k)]
+        x = x.select(*[c for i in n for c in (f"_at{i}", f"_v{i}")], *[t.alias(f"u{c}") for c, t in enumerate(total)])
+        each = F.array(*[F.struct(F.col(f"_at{i}").alias("at"), *[(F.col(f"_v{i}") * F.col(f"u{c}")).alias(f"u{c}") for c in range(k)]) for i in n])
+        got = x.select(F.explode(each).alias("e")).groupBy("e.at").agg(*[F.sum(f"e.u{c}").alias(f"u{c}") for c in range(k)]).toPandas()
+        out = np.zeros((self.total, k))
+        out[got["at"].to_numpy()] = got[[f"u{c}" for c in range(k)]].to_numpy(float)
+        return out
 
     @property
     def g(self) -> np.ndarray:
@@ -216,14 +208,50 @@ class Absorbed:
     def references(self, exact: bool = False) -> int:
         """Redundant levels: none for one pure term, the components for two, and one more for each further term (or the exact rank deficiency)."""
         pure = self.pure()
-        if exact and self.total:
-            if self.total > EXACT:
-                raise ValueError(f"the exact rank is computed up to {EXACT} levels")
-            return self.total - pinv(self.dense() / np.sqrt(np.outer(self.diagonal, self.diagonal)))[1]
+        if exact and self.total and (len(pure) > 2 or len(pure) < len(self.terms)):
+            if self.total <= EXACT and not self.distributed:
+                return self.total - pinv(self.dense() / np.sqrt(np.outer(self.diagonal, self.diagonal)))[1]
+            return self._deficiency()
         if len(pure) < 2:
             return 0
         return int(self.components().max()) + len(pure) - 2
 
+    def _deficiency(self) -> int:
+        """The dimension of the dummies' null space, by products alone.
+
+        z - x with gram x = gram z is a random element of the null space. The known ones (a component's levels of the
+        first two pure terms against each other, and each further pure term against the first) are projected out, and
+        vectors are drawn until their rank stays below their number.
+        """
+        pure = self.pure()
+        label = np.zeros(self.total, np.int64)
+        sign = np.zeros(self.total)
+        further = np.zeros((self.total, 0))
+        if len(pure) > 1:
+            label = self.components()
+            for i, s in zip(pure[:2], (1.0, -1.0), strict=True):
+                sign[self.first[i] : self.first[i + 1]] = s
+            further = np.zeros((self.total, len(pure) - 2))
+            for j, i in enumerate(pure[2:]):
+                further[self.first[pure[0]] : self.first[pure[0] + 1], j] = 1
+                further[self.first[i] : self.first[i + 1], j] = -1
+        size = np.bincount(label, sign * sign)
+
+        def apart(v: np.ndarray) -> np.ndarray:
+            share = np.stack([np.bincount(label, sign * v[:, c], len(size)) for c in range(v.shape[1])], 1) / np.maximum(size, 1)[:, None]
+            return v - sign[:, None] * share[label]
+
+        known = int(label.max()) + further.shape[1]
+        basis = np.linalg.qr(apart(further))[0] if further.shape[1] else further
+        rng, many = np.random.default_rng(3), 4
+        while True:
+            z = rng.normal(size=(self.total, many))
+            z = apart(z - cgsolve(self.gram, self.gram(z), 1e-12, None, self.diagonal))
+            z -= basis @ (basis.T @ z)
+            rank = int((np.linalg.svd(z, compute_uv=False) > 1e-3).sum())
+            if rank < many:
+                return known + rank
+            many *= 2
 
 def demean(df: DataFrame, columns: list[str], factors: list[str], weights: str | None = None, means: bool = False, na_rm: bool = False) -> DataFrame:
     """df with `columns` replaced by their residuals on all factors jointly (or, with means, by what was taken off).
@@ -242,12 +270,14 @@ def demean(df: DataFrame, columns: list[str], factors: list[str], weights: str |
     names = frame.cols("y")
     old = {c: F.col("_row").getField(c).cast("double") for c in columns}
     out = Absorbed(frame, names).residuals()
-    within = W.partitionBy(*[t.key for t in frame.terms]) if len(frame.terms) == 1 else None
     spoilt = {}
     for k, c in enumerate(columns):
-        if within is not None:
-            out = out.withColumn(f"_nan{k}", F.max(F.isnan(old[c]).cast("int")).over(within))
-            spoilt[c] = F.col(f"_nan{k}") == 1
+        if len(frame.terms) == 1:  # only groups with a NaN are looked up
+            key = frame.terms[0].key
+            bad = frame.df.where(F.isnan(old[c])).select(F.col(key).alias(f"_nan{k}")).distinct()
+            bad = written(bad, "nan-groups")
+            out = out.join(F.broadcast(bad) if bad.count() <= BROADCAST else bad, F.col(key) == F.col(f"_nan{k}"), "left")
+            spoilt[c] = F.col(f"_nan{k}").isNotNull()
         else:
             spoilt[c] = F.lit(bool(df.where(nan[c]).limit(1).count()))
     value = lambda c: F.when(spoilt[c], F.lit(float("nan"))).otherwise(old[c] - F.col(names[columns.index(c)]) if means else F.col(names[columns.index(c)]))

@@ -20,6 +20,7 @@ from plumbline.functions.dist import chi2_upper, f_upper, t_quantile, t_two_side
 from plumbline.functions.linalg import dependent_columns, inverse_without, pinv
 from plumbline.plans.formula import Model, parse, split, updated
 from plumbline.plans.frame import Frame, build
+from plumbline.plans.shared import ranked
 
 from .absorb import Absorbed, demean
 
@@ -240,9 +241,16 @@ class Fit:
                     break
                 old = total
             return float(total) if np.ndim(total) == 0 else total
-        rng = np.random.default_rng(seed)
-        draws = rng.standard_t(df, size=(min(most, 200_000), len(at)))
-        return float(np.mean([fun(dict(zip(coefs, b + low @ d, strict=True))) for d in draws]))
+        rng, n, total, square = np.random.default_rng(seed), 0, 0.0, 0.0
+        while n < most:
+            value = np.array([fun(dict(zip(coefs, b + low @ d, strict=True))) for d in rng.standard_t(df, size=(10_000, len(at)))], float)
+            n, total, square = n + len(value), total + value.sum(0), square + (value * value).sum(0)
+            error = np.sqrt(np.maximum(square / n - (total / n) ** 2, 0) / n)
+            if np.all(error <= tol * np.maximum(np.abs(total / n), 1e-12)):
+                break
+        else:
+            warnings.warn(f"the expectation's relative error is {float(np.max(error / np.maximum(np.abs(total / n), 1e-300))):.1e} after {n} draws", stacklevel=2)
+        return float(total / n) if np.ndim(total) == 0 else total / n
 
     def summary(self, robust: bool | None = None, lhs: str | None = None) -> dict:
         lhs = self.one(lhs)
@@ -257,8 +265,7 @@ class Fit:
         f = mss / (self.p - icpt) / resvar if self.p > icpt else np.nan
         pr2 = 1 - rss / self.ptss[lhs]
         u = self.residual_rows(lhs)
-        u = F.col("_u") * F.sqrt("_w"), u
-        five = u[1].agg(F.percentile(u[0], [0.0, 0.25, 0.5, 0.75, 1.0])).first()[0]
+        five = quantiles(u, F.col("_u") * F.sqrt("_w"), [0.0, 0.25, 0.5, 0.75, 1.0])
         out = {
             "coefficients": self.table(kind, lhs), "kind": kind, "n": self.n, "df": rdf, "sigma": float(np.sqrt(resvar)), "r2": r2, "adj_r2": 1 - (1 - r2) * (self.n - icpt) / rdf,
             "projected_r2": pr2, "projected_adj_r2": 1 - (1 - pr2) * (self.n - icpt) / rdf, "F": f, "F_df1": self.p - icpt, "F_df2": rdf, "F_p": f_upper(f, self.p - icpt, rdf),
@@ -271,12 +278,83 @@ class Fit:
             out["first_stage_robust_F"] = {q: self.stage1.waldtest(self.stage1.instruments, kind="robust", lhs=q) for q in self.stage1.lhs if self.stage1.stats[q].robust is not None}
         return out
 
+    def nobs(self) -> int:
+        return self.n
+
+    def weights(self) -> DataFrame | None:
+        """The rows' weights; None if there are none."""
+        return self.frame.df.select(F.col("_w").alias("weight")) if self.frame.weighted else None
+
+    def fitted(self, lhs: str | None = None) -> DataFrame:
+        """response, fitted and residual of each row of the frame."""
+        lhs = self.one(lhs)
+        y = self.frame.cols("y")[self.lhs.index(lhs)]
+        # the response is a column of the absorbed ones, so it is put aside before absorption
+        kept, df = y + "_kept", self.frame.df
+        self.frame.df = df.withColumn(kept, F.col(y))
+        try:
+            rows = self.residual_rows(lhs)
+        finally:
+            self.frame.df = df
+        return rows.select(F.col(kept).alias("response"), (F.col(kept) - F.col("_u")).alias("fitted"), F.col("_u").alias("residual"))
+
+    def ftest(self, other: Fit | None = None, kind: str = "iid", lhs: str | None = None) -> dict[str, float]:
+        """F of all coefficients against zero, or against those of a nested fit; the numerator's degrees of freedom are the parameters (or their difference)."""
+        lhs = self.one(lhs)
+        smaller = other.coef(lhs) if other is not None else {}
+        gap = np.nan_to_num(np.array([b - smaller.get(n, 0.0) for n, b in self.coef(lhs).items()]))
+        df1 = self.p - (other.p if other is not None else 0)
+        f = float(gap @ pinv(np.nan_to_num(self.vcov(kind, lhs)))[0] @ gap) / df1
+        return {"F": f, "p": f_upper(f, df1, self.df), "df1": df1, "df2": self.df}
+
+    def report(self, robust: bool | None = None, lhs: str | None = None, digits: int = 4) -> str:
+        """The summary as text."""
+        s, lhs = self.summary(robust, lhs), self.one(lhs)
+        g = lambda x: f"{x:.{digits}g}"
+        lines = [f"Summary for outcome {lhs}", "", ("Weighted " if self.frame.weighted else "") + "Residuals:", "  ".join(f"{x:>10}" for x in ("Min", "1Q", "Median", "3Q", "Max")), "  ".join(f"{g(x):>10}" for x in s["residuals"]), "", "Coefficients:"]
+        rows = s["coefficients"].collect()
+        if not rows:
+            return "\n".join([*lines, "(No coefficients)"])
+        width = max(len(r["term"]) for r in rows)
+        lines.append(f"{'':<{width}} " + " ".join(f"{x:>12}" for x in ("Estimate", "Std. error", "t value", "p")))
+        stars = lambda p: next((m for cut, m in ((0.001, "***"), (0.01, "**"), (0.05, "*"), (0.1, ".")) if p < cut), "")
+        lines += [f"{r['term']:<{width}} " + " ".join(f"{g(r[c]):>12}" for c in ("estimate", "std_error", "t_value", "p_value")) + f" {stars(r['p_value'])}" for r in rows]
+        f = s["projected_F"]
+        lines += ["", f"Residual standard error: {g(s['sigma'])} on {s['df']} degrees of freedom", f"R-squared (full model): {g(s['r2'])}  adjusted: {g(s['adj_r2'])}", f"R-squared (projected model): {g(s['projected_r2'])}  adjusted: {g(s['projected_adj_r2'])}",
+                  f"F (full model{', iid' if s['kind'] != 'iid' else ''}): {g(s['F'])} on {s['F_df1']} and {s['F_df2']} df, p {g(s['F_p'])}", f"F (projected model): {g(f['F'])} on {f['df1']} and {g(f['df2'])} df, p {g(f['p.F'])}"]
+        if "endogenous_F" in s:
+            f = s["endogenous_F"]
+            lines.append(f"F (endogenous variables): {g(f['F'])} on {f['df1']} and {g(f['df2'])} df, p {g(f['p.F'])}")
+        if s["df_may_be_too_high"] and not self.options.get("exact_dof"):
+            lines.append("Standard errors may be too high: more than two factors, and the rank is not exact")
+        if self.controls:
+            lines.append(f"{self.controls} variable(s) were projected out")
+        return "\n".join(lines)
+
+    def latex(self, robust: bool | None = None, lhs: str | None = None, digits: int = 4) -> str:
+        """The summary's coefficients as a LaTeX table."""
+        rows = self.summary(robust, lhs)["coefficients"].collect()
+        clean = lambda x: re.sub(r"([&%$#_{}])", r"\\\1", x)
+        body = [" & ".join([clean(r["term"]), *(f"{r[c]:.{digits}g}" for c in ("estimate", "std_error", "t_value", "p_value"))]) + r" \\" for r in rows]
+        head = [r"\begin{tabular}{lrrrr}", r"\hline", r" & Estimate & Std. Error & t value & Pr($>|t|$) \\", r"\hline"]
+        return "\n".join([*head, *body, r"\hline", r"\end{tabular}"])
+
     def __str__(self) -> str:
         width = max([*map(len, self.names), 4])
         lines = [f"{n:<{width}} " + " ".join(f"{x:>14.6g}" for x in row) for n, row in zip(self.names, self.coefficients, strict=True)]
         return "\n".join([f"{'':<{width}} " + " ".join(f"{x:>14}" for x in self.lhs), *lines])
 
 
+def quantiles(df: DataFrame, value: Column, probs: list[float]) -> list[float]:
+    """Exact quantiles, interpolated between order statistics. Rows are put in order by ranges; only the order statistics asked for reach the driver."""
+    x = ranked(df.select(value.cast("double").alias("v")).where("v is not null"), [F.col("v")])
+    n = df.where(value.isNotNull()).count()
+    places = [(n - 1) * q for q in probs]
+    wanted = sorted({int(f(p)) + 1 for p in places for f in (np.floor, np.ceil)})
+    got = {r["position"]: r["v"] for r in x.where(F.col("position").isin(wanted)).collect()} if n else {}
+    return [got[int(np.floor(p)) + 1] + (p - np.floor(p)) * (got[int(np.ceil(p)) + 1] - got[int(np.floor(p)) + 1]) for p in places] if n else [float("nan")] * len(probs)
+
+
 def restrictions(text: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """`~ a - 1 | 2 * b + c + 0.2`: each part is a linear form that is to be zero."""
     rows, rhs = [], []
@@ -387,8 +465,8 @@ def _ols(base: Fit | None, design: np.ndarray, names: list[str], target: np.ndar
                     meat = meat + (1 if len(use) % 2 else -1) * adjust * g / (g - 1) * part
                 if cmethod != "cgm":
                     one.df = min(least - 1, one.df)
-            elif cmethod == "gaure":
-                meat = adjust * _gaure(rows, uc, xs, keys)
+            elif cmethod == "fitted":
+                meat = adjust * _fitted_means(rows, uc, xs, keys)
             else:
                 raise ValueError(f"unknown cluster method {cmethod}")
             cv = bread @ meat @ bread
@@ -401,7 +479,7 @@ def _ols(base: Fit | None, design: np.ndarray, names: list[str], target: np.ndar
     return fit
 
 
-def _gaure(rows: DataFrame, u: Column, xs: list[Column], keys: list[str]) -> np.ndarray:
+def _fitted_means(rows: DataFrame, u: Column, xs: list[Column], keys: list[str]) -> np.ndarray:
     """Scores are replaced by what cluster effects explain of them, scaled by the mean cluster size of a row."""
     score = rows.select(*[(F.col("_w") * u * x).alias(f"_e{i}") for i, x in enumerate(xs)], *keys)
     for c in keys:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import effects
-from plumbline.operators.estimate import felm
+from plumbline.operators.estimate import felm, quantiles
 from plumbline.plans.formula import parse, split
 from plumbline.plans.frame import chainsubset
 
@@ -39,7 +39,7 @@ def subset(df: DataFrame, rule: str, seed: int = 1) -> DataFrame:
     if re.fullmatch(r"[0-9.]+", rule):
         return df.sample(float(rule), seed)
     if m := re.fullmatch(r"(\w+)\s*<-\s*quantile\((\w+)\s*,\s*([0-9.]+)\)", rule):
-        at = df.agg(F.percentile(m[2], float(m[3]))).first()[0]
+        at = quantiles(df, F.col(m[2]), [float(m[3])])[0]
         return df.where(F.col(m[1]) < at)
     rule = re.sub(r"\b(mean|median|min|max|sd)\(([^()]*)\)", lambda m: "{" + {"mean": "avg", "sd": "stddev"}.get(m[1], m[1]) + f"({m[2]})" + "}", rule)
     return chainsubset(df, rule.replace("&", " AND ").replace(" | ", " OR "))
