@@ -147,7 +147,7 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _arrow(schema: str, *columns) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
     parts = [c.split() for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts, strict=True)], [p[0] for p in parts])
 
@@ -178,7 +178,8 @@ def shared_marks(docs: DataFrame, width: int) -> DataFrame:
             mark, doc = mark[new], doc[new]
             start = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])[: len(mark)])
             several = np.repeat(np.diff(np.append(start, len(mark))) > 1, np.diff(np.append(start, len(mark))))
-            yield _arrow(schema, rows[doc], mark, several)
+            by = np.argsort(doc, kind="stable")  # neighbours in one row make for small files
+            yield _arrow(schema, rows[doc[by]], mark[by], several[by])
             # others may share the mark with one text of these, so one of them stands for all
             if len(ahead := start[several[start]]):
                 yield _arrow(schema, rows[doc[ahead]], mark[ahead], np.zeros(len(ahead), bool))
@@ -191,8 +192,8 @@ def shared_marks(docs: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame, width: int) -> DataFrame:
-    """(row, id, places): windows of `texts` (row, id, text, marks) that start in a document with a smaller id too. Several rows may name a text's places."""
-    schema = "h1 long, h2 long, row long, id long, places array<int>, known boolean"
+    """(row, id, place, more): windows of `texts` (row, id, text, marks) that start in a document with a smaller id too. Several rows may name a text's places."""
+    schema = "h1 long, h2 long, row long, id long, place int, more array<int>, known boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -217,17 +218,17 @@ def repeated_windows(texts: DataFrame, width: int) -> DataFrame:
                     else:
                         rows.append((h, me, places))
             h = np.frombuffer(b"".join(r[0] for r in rows), np.int64).reshape(-1, 2)
-            yield _arrow(schema, h[:, 0], h[:, 1], [r[1][1] for r in rows], [r[1][0] for r in rows], [r[2] for r in rows], [False] * len(rows))
-            yield _arrow(schema, [k[0] for k in gone], [k[1] for k in gone], [k[1] for k in gone], [k[0] for k in gone], list(gone.values()), [True] * len(gone))
+            yield _arrow(schema, h[:, 0], h[:, 1], [r[1][1] for r in rows], [r[1][0] for r in rows], [r[2][0] for r in rows], [r[2][1:] or None for r in rows], [False] * len(rows))
+            yield _arrow(schema, [k[0] for k in gone], [k[1] for k in gone], [k[1] for k in gone], [k[0] for k in gone], [v[0] for v in gone.values()], [v[1:] or None for v in gone.values()], [True] * len(gone))
         give_back()
 
     found = texts.select("row", "id", "text", "marks").mapInArrow(run, schema)
     same = W.partitionBy("h1", "h2", F.when(F.col("known"), F.col("row")))
-    return found.withColumn("gone", F.col("known") | (F.col("id") > F.min("id").over(same))).where("gone").select("row", "id", "places")
+    return found.withColumn("gone", F.col("known") | (F.col("id") > F.min("id").over(same))).where("gone").select("row", "id", "place", "more")
 
 
 def removals(texts: DataFrame, width: int) -> DataFrame:
-    """(row, id, n_removed, starts, ends, kept_sha256) of `texts` (row, id, text, found: ids and places)."""
+    """(row, id, n_removed, starts, ends, kept_sha256) of `texts` (row, id, text, found: ids, place and more)."""
     schema = "row long, id long, n_removed long, starts array<int>, ends array<int>, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,7 @@ def removals(texts: DataFrame, width: int) -> DataFrame:
             out = [[] for _ in range(6)]
             for row, i, t, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = t.encode().split()
-                places = [x["places"] for x in found if x["id"] == i]
+                places = [[x["place"], *(x["more"] or [])] for x in found if x["id"] == i]
                 step = np.zeros(len(words) + 1, np.int64)
                 at = np.unique(np.concatenate([np.array(x, np.int64) for x in places])) if places else np.zeros(0, np.int64)
                 step[at] += 1
@@ -287,7 +288,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     known = written(known.withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_words") >= width)).drop("least", "h1", "h2"), "substring-copies")
     wanted = shared_marks(rows.select("row", "text"), width).join(known.where("copy").select("row"), "row", "left_anti").groupBy("row").agg(F.collect_set("mark").alias("marks"))
     found = repeated_windows(rows.join(wanted.withColumnRenamed("row", "of"), F.col("row") == F.col("of")), width)
-    found = found.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("id", "places")).alias("found"))
+    found = found.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("id", "place", "more")).alias("found"))
     gone = removals(rows.join(found, F.col("row") == F.col("of")), width)
     gone = gone.dropDuplicates(["row", "id"]).select(F.col("row").alias("_row"), F.col("id").alias("_id"), "n_removed", "starts", "ends", "kept_sha256")
     out = known.join(gone, (F.col("row") == F.col("_row")) & (F.col("id") == F.col("_id")), "left")

@@ -179,7 +179,8 @@ def shared_marks(docs: DataFrame, width: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
             runs = np.diff(np.append(start, len(mark)))
             several = np.repeat((runs > 1) | (np.add.reduceat(np.concatenate(again)[order], start) > 0), runs)
-            yield _batch(schema, [rows[doc], mark, several])
+            by = np.argsort(doc, kind="stable")  # neighbours in one row make for small files
+            yield _batch(schema, [rows[doc[by]], mark[by], several[by]])
             ahead = start[several[start]]  # for other batches' texts
             yield _batch(schema, [rows[doc[ahead]], mark[ahead], np.zeros(len(ahead), bool)])
         give_back()
