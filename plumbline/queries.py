@@ -223,28 +223,24 @@ def q_model_matrix(spark, sf):
     return x.agg(F.count("*").alias("n"), r6(F.sum(F.col("qty") * F.col("qty")), 2).alias("ss"))
 
 
-def hot(spark, sf):
-    return lines(spark, sf).where("qty >= 50 and l_returnflag = 'R'")
-
-
 def q_components(spark, sf):
-    x = effects.compfactor(hot(spark, sf), ["l_partkey", "l_orderkey"])
+    x = effects.compfactor(lines(spark, sf), ["l_partkey", "l_orderkey"])
     return x.agg(F.countDistinct("comp").alias("components"), F.max(F.when(F.col("comp") == 1, 1)).cast("bigint").alias("first"))
 
 
 def q_component_sizes(spark, sf):
-    x = effects.compfactor(hot(spark, sf), ["l_partkey", "l_orderkey"])
+    x = effects.compfactor(lines(spark, sf).withColumn("block", F.expr("l_orderkey div 40")), ["l_orderkey", "block"])
     return x.groupBy("comp").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("components"))
 
 
 def q_weeks_williams(spark, sf):
-    x = effects.compfactor(hot(spark, sf), ["l_suppkey", "l_linenumber", "l_linestatus"], ww=True)
+    x = effects.compfactor(lines(spark, sf), ["l_suppkey", "l_linenumber", "l_linestatus"], ww=True)
     return x.agg(F.countDistinct("comp").alias("components"))
 
 
 def q_degrees_of_freedom(spark, sf):
-    one = felm("price ~ qty | l_partkey + l_orderkey", hot(spark, sf), robust=False, nostats=True)
-    exact = felm("price ~ qty | l_partkey + l_orderkey", hot(spark, sf), robust=False, nostats=True, exact_dof=True)
+    one = felm("price ~ qty | l_partkey + l_orderkey", lines(spark, sf), robust=False, nostats=True)
+    exact = felm("price ~ qty | l_partkey + l_orderkey", lines(spark, sf), robust=False, nostats=True, exact_dof=True)
     return values(spark, {"refs": one.refs, "df": one.df, "exact_df": exact.df}, 0)
 
 
@@ -276,7 +272,7 @@ def q_estimable(spark, sf):
 
 
 def q_dmatrix(spark, sf):
-    x = hot(spark, sf).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    x = lines(spark, sf).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     d = effects.make_dmatrix(x, ["l_suppkey", "qty:factor(l_linestatus)"], "row")
     return d.groupBy("level").agg(F.count("*").alias("n"), r6(F.sum("value"), 3).alias("total"))
 
@@ -375,10 +371,12 @@ def _two_way(least: bool) -> str:
 
 ONE = "m AS (SELECT sum(qty*qty) aa, sum(qty*price) ay, sum(price*price) yy, count(*) n FROM c), f AS (SELECT *, ay/aa AS b1, yy - ay*ay/aa AS rss FROM m)"
 SLOPE = f"WITH {L}, c AS (SELECT *, qty - disc * sum(disc*qty) OVER (PARTITION BY l_suppkey) / sum(disc*disc) OVER (PARTITION BY l_suppkey) AS r FROM l)"
-HOT = "WHERE l_quantity >= 50 AND l_returnflag = 'R'"
-NODES = f"""WITH RECURSIVE {L.replace('FROM lineitem)', f'FROM lineitem {HOT})')}, e AS (SELECT DISTINCT 'a' || l_partkey AS a, 'b' || l_orderkey AS b FROM l),
-    b AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS n, x AS m FROM b UNION SELECT b.y, r.m FROM r JOIN b ON r.n = b.x),
-    k AS (SELECT n, min(m) AS comp FROM r GROUP BY n), d AS (SELECT k.comp FROM l JOIN k ON k.n = 'a' || l.l_partkey)"""
+#: Smallest labels passed between parts and orders; whole tables are settled after a few rounds.
+LABELS = ["p0 AS (SELECT l_partkey, l_partkey AS c FROM l GROUP BY 1)"]
+for _k in range(1, 13):
+    LABELS.append(f"o{_k} AS MATERIALIZED (SELECT l_orderkey, min(c) AS c FROM l JOIN p{_k - 1} USING (l_partkey) GROUP BY 1)")
+    LABELS.append(f"p{_k} AS MATERIALIZED (SELECT l_partkey, min(c) AS c FROM l JOIN o{_k} USING (l_orderkey) GROUP BY 1)")
+NODES = f"WITH {L}, {', '.join(LABELS)}, d AS (SELECT c AS comp FROM l JOIN p12 USING (l_partkey))"
 IV = f"{absorbed(['y', 'q', 'tax', 'disc'], ['l_suppkey'])}"
 EFFECTS = f"""{absorbed(['y', 'qty'], ['l_suppkey', 'l_linenumber'], 6)}, m AS (SELECT sum(qty*y)/sum(qty*qty) AS b1 FROM c),
     o AS (SELECT l_suppkey, l_linenumber, l.y - b1*l.qty AS y FROM l, m)"""
@@ -428,6 +426,15 @@ SQL = {
     "residual_quantiles": f"{absorbed(['price', 'qty'], ['l_suppkey'])}, {ONE}, u AS (SELECT price - b1*qty AS u FROM c, f) " + name_value({n: f"quantile_cont(u, {q})" for n, q in zip(["Min", "1Q", "Median", "3Q", "Max"], [0, 0.25, 0.5, 0.75, 1], strict=True)}, "u", 4),
     "wald": f"""{absorbed(SIMPLE, ['l_suppkey'])}, {two('price', 'qty', 'disc')}, z AS (SELECT b1-0.01 AS r1, b1+b2 AS r2, rss/(n-2-k) AS s2, v11 AS w11, v11+v12 AS w12, v11+2*v12+v22 AS w22 FROM f, g),
         t AS (SELECT (w22*r1*r1 - 2*w12*r1*r2 + w11*r2*r2)/(w11*w22-w12*w12)/s2 AS chi2 FROM z) {name_value({'chi2': 'chi2', 'F': 'chi2/2'}, 't', 3)}""",
+    "nlexpect": f"{absorbed(SIMPLE, ['l_suppkey'])}, {two('price', 'qty', 'disc')} " + name_value({"square": "b1*b1 + rss*v11/(n-4-k)"}, "f, g", 8),
+    "iv_liml": f"""{absorbed(['y', 'q', 'qty', 'tax', 'disc'], ['l_suppkey'])},
+        h AS (SELECT sum(qty*qty) s, sum(qty*y) sy, sum(qty*q) sq, sum(qty*tax) st, sum(qty*disc) sd, sum(y*y) yy, sum(y*q) yq, sum(q*q) qq, sum(y*tax) yt, sum(y*disc) yd, sum(q*tax) qt, sum(q*disc) qd, sum(tax*tax) tt, sum(tax*disc) td, sum(disc*disc) dd FROM c),
+        r AS (SELECT s, sy, sq, yy - sy*sy/s ayy, yq - sy*sq/s ayq, qq - sq*sq/s aqq, yt - sy*st/s yt, yd - sy*sd/s yd, qt - sq*st/s qt, qd - sq*sd/s qd, tt - st*st/s tt, td - st*sd/s td, dd - sd*sd/s dd FROM h),
+        b AS (SELECT *, ayy - (yt*yt*dd - 2*yt*yd*td + yd*yd*tt)/(tt*dd - td*td) byy, ayq - (yt*qt*dd - (yt*qd + yd*qt)*td + yd*qd*tt)/(tt*dd - td*td) byq, aqq - (qt*qt*dd - 2*qt*qd*td + qd*qd*tt)/(tt*dd - td*td) bqq FROM r),
+        t AS (SELECT *, byy*bqq - byq*byq det, ayy*bqq + aqq*byy - 2*ayq*byq mid, ayy*aqq - ayq*ayq top FROM b),
+        k AS (SELECT *, 2*top/(mid + sqrt(greatest(mid*mid - 4*det*top, 0))) kappa FROM t),
+        z AS (SELECT *, (ayq - kappa*byq)/(aqq - kappa*bqq) bq FROM k) """
+    + name_value({"kappa": "kappa", "qty": "(sy - bq*sq)/s", "q": "bq"}, "z", 5),
     "loglik": f"{absorbed(['price', 'qty'], ['l_suppkey'])}, {ONE} " + name_value({"loglik": "-0.5*n*(ln(2*pi()) + 1 - ln(n) + ln(rss))"}, "f", 3),
     "update": f"{absorbed(['price', 'qty'], ['l_suppkey'])}, {ONE} " + tell([("qty", "b1", "sqrt(rss/(n-1-k)/aa)")], "f, g"),
     "demean_one": f"{absorbed(['price'], ['l_suppkey'])} SELECT l_orderkey, l_linenumber, round(price, 7) + 0.0 AS price FROM c",
@@ -436,16 +443,16 @@ SQL = {
     "demean_slope": f"{SLOPE} SELECT l_orderkey, l_linenumber, round(r, 6) + 0.0 AS qty FROM c",
     "model_matrix": f"{absorbed(['qty'], ['l_suppkey'])} SELECT count(*) AS n, round(sum(qty*qty), 2) + 0.0 AS ss FROM c",
     "components": f"{NODES} SELECT count(DISTINCT comp) AS components, CAST(1 AS BIGINT) AS first FROM d",
-    "component_sizes": f"{NODES}, s AS (SELECT comp, count(*) AS n FROM d GROUP BY comp) SELECT n, count(*) AS components FROM s GROUP BY n",
+    "component_sizes": "WITH s AS (SELECT l_orderkey // 40 AS block, count(*) AS n FROM lineitem GROUP BY 1) SELECT n, count(*) AS components FROM s GROUP BY n",
     "degrees_of_freedom": f"{NODES}, z AS (SELECT (SELECT count(DISTINCT comp) FROM d) AS refs, (SELECT count(*) - count(DISTINCT l_partkey) - count(DISTINCT l_orderkey) FROM l) AS free) "
-    + name_value({"refs": "refs", "df": "free + refs", "exact_df": "free + refs"}, "z", 0),
+    + name_value({"refs": "refs", "df": "free + refs - 1", "exact_df": "free + refs - 1"}, "z", 0),
     "projection_trace": name_value({"one": "count(*) - count(DISTINCT l_suppkey)", "two": "count(*) - count(DISTINCT l_suppkey) - count(DISTINCT l_linenumber) + 1"}, "lineitem", 0),
     "effects_one_factor": f"""{absorbed(['price', 'qty'], ['l_suppkey'])}, {ONE} SELECT 'l_suppkey' AS fe, CAST(l_suppkey AS VARCHAR) AS idx, count(*) AS obs, round(avg(l.price) - max(b1)*avg(l.qty), 5) + 0.0 AS effect,
         round(sqrt(max(rss/(n-1-k))/count(*) + avg(l.qty)*avg(l.qty)*max(rss/(n-1-k)/aa)), 5) + 0.0 AS se FROM l, f, g GROUP BY l_suppkey""",
     "effects_two_factors": f"{EFFECTS}, {GAUSS_SQL} SELECT 'l_suppkey' AS fe, CAST(l_suppkey AS VARCHAR) AS idx, round(a - avg(a) OVER (), 4) + 0.0 AS effect FROM a8 UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), round(p - avg(p) OVER (), 4) + 0.0 FROM e8",
     "effects_merged": f"{EFFECTS} SELECT 'qty' AS term, round(b1, 5) + 0.0 AS estimate FROM m UNION ALL SELECT 'a', 1.0 UNION ALL SELECT 'p', 1.0",
     "estimable": "SELECT 'ref' AS name, true AS estimable UNION ALL SELECT 'zm', true UNION ALL SELECT 'zm2', true UNION ALL SELECT 'ln', false",
-    "dmatrix": f"SELECT 'l_suppkey.' || l_suppkey AS level, count(*) AS n, round(count(*), 3) + 0.0 AS total FROM lineitem {HOT} GROUP BY l_suppkey UNION ALL SELECT 'qty:factor(l_linestatus).' || l_linestatus, count(*), round(sum(l_quantity), 3) + 0.0 FROM lineitem {HOT} GROUP BY l_linestatus",
+    "dmatrix": f"SELECT 'l_suppkey.' || l_suppkey AS level, count(*) AS n, round(count(*), 3) + 0.0 AS total FROM lineitem GROUP BY l_suppkey UNION ALL SELECT 'qty:factor(l_linestatus).' || l_linestatus, count(*), round(sum(l_quantity), 3) + 0.0 FROM lineitem GROUP BY l_linestatus",
     "interaction_factor": f"{absorbed(['y', 'qty'], ['l_returnflag || l_linestatus']).replace('count(DISTINCT l_returnflag || l_linestatus)', 'count(DISTINCT (l_returnflag || l_linestatus))')}, {ONE.replace('price', 'y')} " + tell([("qty", "b1", "sqrt(rss/(n-1-k)/aa)")], "f, g"),
     "two_factors_robust": f"""{absorbed(['y', 'qty', 'disc'], ['l_partkey', 'l_suppkey'], 8)}, {two('y', 'qty', 'disc')}, s AS (SELECT (y - b1*qty - b2*disc) * qty AS a, (y - b1*qty - b2*disc) * disc AS b FROM c, f),
         t AS (SELECT sum(a*a) taa, sum(a*b) tab, sum(b*b) tbb FROM s), z AS (SELECT b1, b2, n/(n-2.0-k) * (v11*v11*taa + 2*v11*v12*tab + v12*v12*tbb) s1, n/(n-2.0-k) * (v12*v12*taa + 2*v12*v22*tab + v22*v22*tbb) s2 FROM f, t, g)
