@@ -14,18 +14,20 @@ least `equal_words` words is removed if an earlier one has the same words; lines
    and no pairs are made within a group.
 4. Each line's earliest partner is verified on the words themselves.
 
-Nulls: a null text is one empty line; a null doc_id is earlier than all others. Rows that repeat a doc_id and
-a text tie, and a tie removes nothing. Empty texts and tables stay as they are. Further columns pass
+Nulls: a null text is one empty line; a null doc_id is earlier than all others. Rows that repeat a doc_id with
+different texts follow each other by the hash of their texts. Rows that repeat both tie, and a tie removes nothing. Empty texts and tables stay as they are. Further columns pass
 through, except n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import GAP, table, written
+from ._common import GAP, SMALL_ROWS, table, written
 
 MIN_WORDS = 5
 #: Lengths of the ends that are compared: 2, 3, 4, 6, 8, 12, ...; line lengths are below 2 ** 31.
@@ -63,7 +65,7 @@ def variants(found: DataFrame) -> DataFrame:
 
     A hash joins those of the words and their places by exclusive or, so one pass over a line gives them all.
     """
-    word = found.select(F.struct("doc_id", "at").alias("place"), F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    word = found.select(F.struct("doc_id", "nth", "at").alias("place"), F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     word = word.select("place", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("left"))
     line = W.partitionBy("place")
     so_far = line.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -76,31 +78,49 @@ def variants(found: DataFrame) -> DataFrame:
     return out.select("place", "v.out", "v.variant")
 
 
+def _told_apart(docs: DataFrame) -> Callable:
+    """For doc_id and text: what joins a table's rows to the doc_ids that have several texts, and the column that tells those texts apart (0 elsewhere)."""
+    ids = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a != b")
+    ids = written(ids.select(F.col("doc_id").alias("_several"), F.lit(True).alias("_told")), "line-ids")
+    n = ids.count()
+    ids = F.broadcast(ids) if n <= SMALL_ROWS else ids
+
+    def by(doc_id: Column, text: Column) -> tuple[Callable[[DataFrame], DataFrame], Column]:
+        if not n:
+            return lambda df: df, F.lit(0).cast("long")
+        return lambda df: df.join(ids, doc_id.eqNullSafe(F.col("_several")), "left"), F.when(F.col("_told"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+    return by
+
+
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, at) of the lines that have an earlier line within one word edit, or an equal one if they are short."""
+    """(doc_id, nth, at) of the lines of `docs` (doc_id, nth, text) that have an earlier line within one word edit, or an equal one if they are short.
+
+    nth orders texts of one doc_id.
+    """
     if min_words < 5:
         raise ValueError("a line one word shorter must still have two ends of two words")
     plain = F.posexplode(F.transform(_lines(F.col("text")), _plain)).alias("at", "plain")
     n = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
-    slim = docs.select("doc_id", plain).withColumn("n", n).where((F.col("n") >= min(min_words, equal_words)) & (F.col("plain") != ""))
+    slim = docs.select("doc_id", "nth", plain).withColumn("n", n).where((F.col("n") >= min(min_words, equal_words)) & (F.col("plain") != ""))
     h1, h2 = F.xxhash64("plain"), F.xxhash64(F.lit(7), "plain")
     # without ends a line is near to none
     ends = F.when(F.col("n") >= min_words, _ends(F.col("plain"), F.col("n"))) if equal_words < min_words else _ends(F.col("plain"), F.col("n"))
-    slim = written(slim.select("doc_id", "at", h1.alias("h1"), h2.alias("h2"), ends.alias("ends")), "lines")
-    place = F.struct("doc_id", "at")
+    slim = written(slim.select("doc_id", "nth", "at", h1.alias("h1"), h2.alias("h2"), ends.alias("ends")), "lines")
+    place = F.struct("doc_id", "nth", "at")
     classes = written(slim.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("ends").alias("ends")), "line-classes")
     shared = classes.select("h1", F.explode("ends").alias("end"))
     busy = shared.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("end")
     partners = shared.join(busy, "end", "left_semi").select("h1").distinct()
-    wanted = classes.join(partners, "h1", "left_semi").select("h1", "h2", "first.doc_id", "first.at")
-    wanted = wanted.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", F.struct("h1", "h2").alias("id")))).alias("wanted"))
-    found = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "wanted")
+    wanted = classes.join(partners, "h1", "left_semi").select("h1", "h2", "first.doc_id", "first.nth", "first.at")
+    wanted = wanted.groupBy("doc_id", "nth").agg(F.array_sort(F.collect_set(F.struct("at", F.struct("h1", "h2").alias("id")))).alias("wanted"))
+    found = docs.select(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_nth") == F.col("nth"))).select("doc_id", "nth", "text", "wanted")
     before = F.concat(F.array(F.lit(-1)), F.slice(F.col("wanted")["at"], 1, F.size("wanted") - 1))
     nothing = F.slice("wanted", 1, 0)
     beside = F.flatten(F.zip_with("wanted", before, lambda x, p: F.concat(F.array_repeat(F.try_element_at(nothing, F.lit(1)), x["at"] - p - 1), F.array(x))))
     beside = F.zip_with(_lines(F.col("text")), beside, lambda line, x: F.when(x.isNotNull(), F.struct(x.alias("x"), line.alias("line"))))
-    found = found.select("doc_id", F.explode(F.filter(beside, lambda x: x.isNotNull())).alias("y"))
-    found = found.select("doc_id", "y.x.at", "y.x.id", F.split(_plain(F.col("y.line")), " ").alias("words")).dropDuplicates(["doc_id", "at"])
+    found = found.select("doc_id", "nth", F.explode(F.filter(beside, lambda x: x.isNotNull())).alias("y"))
+    found = found.select("doc_id", "nth", "y.x.at", "y.x.id", F.split(_plain(F.col("y.line")), " ").alias("words")).dropDuplicates(["doc_id", "nth", "at"])
     found = written(found, "line-partners")
 
     emitted = written(variants(found), "line-variants")
@@ -123,8 +143,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int
     pairs = pairs.join(text.drop("id"), F.col("earlier") == F.col("is")).select("id", "mine", F.col("of").alias("other"))
     near = written(pairs.where(one_edit(F.col("mine"), F.col("other"))).select("id.h1", "id.h2"), "line-near")
     again = classes.where("first < last").select("h1", "h2", "first")
-    gone_again = slim.join(again, ["h1", "h2"]).where(F.col("first") < place).select("doc_id", "at")
-    gone_near = classes.join(near, ["h1", "h2"], "left_semi").select("first.doc_id", "first.at")
+    gone_again = slim.join(again, ["h1", "h2"]).where(F.col("first") < place).select("doc_id", "nth", "at")
+    gone_near = classes.join(near, ["h1", "h2"], "left_semi").select("first.doc_id", "first.nth", "first.at")
     return gone_again.union(gone_near)
 
 
@@ -145,9 +165,13 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = MIN_WORDS) -> DataFrame:
     """docs with `text` rid of the lines that removed_lines() names, and n_lines, n_removed."""
-    gone = removed_lines(docs.select("doc_id", "text"), min_words, equal_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("gone"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = row.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    by = _told_apart(docs.select("doc_id", "text"))
+    beside, nth = by(F.col("doc_id"), F.col("text"))
+    gone = removed_lines(beside(docs.select("doc_id", "text")).select("doc_id", nth.alias("nth"), "text"), min_words, equal_words)
+    gone = gone.groupBy("doc_id", "nth").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    beside, nth = by(F.col("row.doc_id"), F.col("row.text"))
+    row = beside(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).select("row", nth.alias("_nth"))
+    joined = row.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_nth") == F.col("nth")), "left")
     lines = _lines(F.col("row.text"))
     joined = joined.select("row", F.size(lines).alias("n"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     # a flag for each line, from the gaps between removed places

@@ -93,3 +93,12 @@ def test_short_lines_that_repeat_go_where_asked(spark):
         seen.add(x)
     got = dedup_lines(docs, equal_words=1).agg(F.sum("n_removed")).first()[0]
     assert short > 0 and got == short + sum(map(len, long.values()))
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    lines = [f"line number {k} has words of its own kind{k}" for k in range(6)]
+    rows = [(1, lines[0]), (2, lines[0] + " more\n" + lines[1]), (2, lines[2] + "\n" + lines[3]), (2, lines[2] + "\n" + lines[3]), (3, lines[2] + " now"), (4, lines[4]), (4, lines[4] + " again"), (None, lines[5]), (None, "a null id with another text here")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [("1", lines[0]), ("2", lines[1]), ("2", lines[2] + "\n" + lines[3]), ("2", lines[2] + "\n" + lines[3]), ("3", ""), ("None", lines[5]), ("None", rows[8][1])]
+    assert [x for x in got if x[0] != "4"] == sorted(want)
+    assert len([x for x in got if x[0] == "4" and x[1]]) == 1
