@@ -345,14 +345,20 @@ class Fit:
         return "\n".join([f"{'':<{width}} " + " ".join(f"{x:>14}" for x in self.lhs), *lines])
 
 
-def quantiles(df: DataFrame, value: Column, probs: list[float]) -> list[float]:
-    """Exact quantiles, interpolated between order statistics. Rows are put in order by ranges; only the order statistics asked for reach the driver."""
+def order_statistics(df: DataFrame, value: Column, places: list[int]) -> dict[int, float]:
+    """The values at the given places (from 1) of the non-null values in order. Rows are put in order by ranges; only the values asked for reach the driver."""
     x = ranked(df.select(value.cast("double").alias("v")).where("v is not null"), [F.col("v")])
+    return {r["position"]: r["v"] for r in x.where(F.col("position").isin(places)).collect()}
+
+
+def quantiles(df: DataFrame, value: Column, probs: list[float]) -> list[float]:
+    """Exact quantiles, interpolated between order statistics."""
     n = df.where(value.isNotNull()).count()
+    if not n:
+        return [float("nan")] * len(probs)
     places = [(n - 1) * q for q in probs]
-    wanted = sorted({int(f(p)) + 1 for p in places for f in (np.floor, np.ceil)})
-    got = {r["position"]: r["v"] for r in x.where(F.col("position").isin(wanted)).collect()} if n else {}
-    return [got[int(np.floor(p)) + 1] + (p - np.floor(p)) * (got[int(np.ceil(p)) + 1] - got[int(np.floor(p)) + 1]) for p in places] if n else [float("nan")] * len(probs)
+    got = order_statistics(df, value, sorted({int(f(p)) + 1 for p in places for f in (np.floor, np.ceil)}))
+    return [got[int(np.floor(p)) + 1] + (p - np.floor(p)) * (got[int(np.ceil(p)) + 1] - got[int(np.floor(p)) + 1]) for p in places]
 
 
 def restrictions(text: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -510,17 +516,18 @@ def _kappa(kclass: str | float, m: np.ndarray, y: np.ndarray, x: np.ndarray, q:
 
 def felm(
     formula: str | Model, data: DataFrame, weights: str | None = None, subset: str | Column | None = None, contrasts: dict | None = None, exact_dof: bool | float | str = False,
-    cmethod: str = "cgm", kclass: str | float | None = None, fuller: float = 0.0, psdef: bool = True, nostats: bool = False, wildcard: str = "n", robust: bool = True, iv=None, clustervar=None,
+    cmethod: str = "cgm", kclass: str | float | None = None, fuller: float = 0.0, psdef: bool = True, nostats: bool = False, wildcard: str = "n", robust: bool = True, iv=None, clustervar=None, eps: float | None = None,
 ) -> Fit:
     """Fits `y ~ covariates | factors | (endogenous ~ instruments) | clusters | controls`.
 
-    exact_dof: True for the exact rank of the dummies, or the residual degrees of freedom as a number.
+    exact_dof: True for the exact rank of the dummies, or the residual degrees of freedom as a number. eps: the solver's
+    relative tolerance.
     """
     model = formula if isinstance(formula, Model) else parse(formula, data.columns, wildcard, iv, clustervar)
     frame = build(data, model, weights, subset, contrasts)
     said, model = model, frame.model
     columns = frame.cols("y", "x", "q", "z", "d")
-    absorbed = Absorbed(frame, columns)
+    absorbed = Absorbed(frame, columns, **({"eps": eps} if eps else {}))
     m = absorbed.moments()
     raw = absorbed.raw.copy()
     controls = 0
@@ -568,7 +575,7 @@ def felm(
         one = m[c, c] if absorbed.terms or not model.intercept else absorbed.raw[c, c] - absorbed.sum_w * mean * mean
         fit.ptss[name] = float(one)
     fit.model = said
-    fit.source, fit.options = data, {"weights": weights, "subset": subset, "contrasts": contrasts, "exact_dof": exact_dof, "cmethod": cmethod, "kclass": kclass, "fuller": fuller, "psdef": psdef, "robust": robust}
+    fit.source, fit.options = data, {"weights": weights, "subset": subset, "contrasts": contrasts, "exact_dof": exact_dof, "cmethod": cmethod, "kclass": kclass, "fuller": fuller, "psdef": psdef, "robust": robust, "eps": eps}
     return fit
 
 

@@ -63,7 +63,7 @@ def run_spec(text: str, data: DataFrame | None = None, spark: SparkSession | Non
     iv = " | ".join(v.split("~")[0].strip() for v in every("iv"))
     instruments = " + ".join(dict.fromkeys(t.strip() for v in every("iv") for t in v.split("~")[1].split("+")))
     formula = f"{model.split('~', 1)[0]} ~ {' + '.join(terms)} | {rest[0] if rest else '0'} | {f'({iv} ~ {instruments})' if iv else '0'} | {' + '.join(clusters) or '0'}"
-    fit = felm(formula, data, exact_dof="exactdf" in one)
+    fit = felm(formula, data, exact_dof="exactdf" in one, eps=float(one["tol"]) if one.get("tol") else None)
     kind = "cluster" if clusters else "robust" if "robust" in one else "iid"
     result: dict = {"fit": fit, "coef": fit.table(kind, fit.lhs[0]), "tests": []}
     for v in every("test"):

@@ -116,3 +116,17 @@ def test_accessors_and_reports(df, pdf):
     text = f.report()
     assert "Residual standard error" in text and "x2" in text and text.startswith("Summary for outcome y")
     assert f.latex().count(r"\\") == 3 and r"\hline" in f.latex()
+
+
+def test_residuals_are_drawn_by_rank(spark):
+    rng = np.random.default_rng(2)
+    u = np.append(rng.normal(size=4999), 1000.0)
+    rows = spark.createDataFrame(pd.DataFrame({"_u": u}))
+    draw = E._residual_draws(rows, 5000)
+    got = spark.range(200_000).select(draw((F.col("id") + 0.5) / 200_000).alias("v")).toPandas()["v"].to_numpy()
+    # each row has one chance in n, an outlier too
+    assert (got == 1000.0).sum() == 40 and got.min() == u.min()
+    assert got[got < 100].mean() == pytest.approx(u[:-1].mean(), abs=2e-3) and got[got < 100].std() == pytest.approx(u[:-1].std(), rel=5e-3)
+    few = E._residual_draws(rows.limit(7), 7)
+    seven = spark.range(7).select(few((F.col("id") + 0.5) / 7).alias("v")).toPandas()["v"]
+    assert sorted(seven) == sorted(rows.limit(7).toPandas()["_u"])
