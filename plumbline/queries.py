@@ -306,7 +306,7 @@ def q_bootstrap(spark, sf):
 def q_cgsolve(spark, sf):
     a = Absorbed(build(lines(spark, sf), Model(["qty"], [], ["l_suppkey", "l_linenumber"], intercept=False)), ["_y0"], shift=False)
     x = cgsolve(a.gram, np.concatenate(a.sums), diagonal=a.diagonal)
-    return values(spark, {"fitted": float((np.concatenate(a.sums) * x).sum()), "trace": mctrace(a.dense())}, 2)
+    return values(spark, {"fitted": float((np.concatenate(a.sums) * x).sum()), "trace": mctrace(a.gram, a.total, diagonal=a.diagonal)}, 2)
 
 
 def q_interaction_factor(spark, sf):

@@ -44,3 +44,12 @@ def test_others_give_rows(spark, name):
 def test_entry(spark):
     assert [r["term"] for r in entry.entry(spark).collect()] == ["qty", "disc"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_cgsolve_forms_no_square_matrix(spark, monkeypatch):
+    def dense(self):
+        raise MemoryError("levels by levels")
+
+    monkeypatch.setattr(Q.Absorbed, "dense", dense)
+    got = {r["name"]: r["value"] for r in Q.QUERIES["cgsolve"](spark, TINY).collect()}
+    assert got["trace"] == 2 * spark.read.parquet(f"{TINY}/lineitem.parquet").count()  # each row is in one level of both factors
