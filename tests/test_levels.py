@@ -130,3 +130,34 @@ def test_residuals_are_drawn_by_rank(spark):
     few = E._residual_draws(rows.limit(7), 7)
     seven = spark.range(7).select(few((F.col("id") + 0.5) / 7).alias("v")).toPandas()["v"]
     assert sorted(seven) == sorted(rows.limit(7).toPandas()["_u"])
+
+
+def test_the_larger_factor_is_eliminated_in_workers(spark, monkeypatch):
+    from plumbline.operators import eliminate
+
+    rng = np.random.default_rng(5)
+    n = 600
+    rows = pd.DataFrame({"id": rng.integers(0, 150, n), "part": rng.integers(0, 40, n), "x": rng.normal(size=n), "w": rng.integers(1, 4, n).astype(float)})
+    rows.loc[rows.id < 70, "part"] = rows.part % 15  # three components: 70 ids, 79 and one alone with its part
+    rows.loc[rows.id >= 70, "part"] = 15 + rows.part % 24
+    rows.loc[rows.id == 149, "part"] = 99
+    rows["y"] = 2 * rows.x + rows.id % 7 + rows.part % 3 + rng.normal(size=n)
+    rows["same"] = (rows.id % 5) + (rows.part % 4)  # explained by the factors
+    df = spark.createDataFrame(rows.assign(part=rows.part.map("p{}".format)))
+    told = lambda f: (f.coef()["x"], f.df, f.refs, f.exact_df(), *f.bad)
+    here = [felm("y ~ x + same | part + id", df, w, nostats=True) for w in (None, "w")]
+    monkeypatch.setattr(absorb, "EDGES", 1)
+    monkeypatch.setattr(eliminate, "CHUNK", 7)
+    monkeypatch.setattr(eliminate, "BLOCK", 16)
+    monkeypatch.setattr(eliminate, "ENTRIES", 80)
+
+    def steps(self, v):
+        raise AssertionError("joins for each step")
+
+    monkeypatch.setattr(absorb.Absorbed, "_distributed_gram", steps)
+    there = [felm("y ~ x + same | part + id", df, w, nostats=True) for w in (None, "w")]
+    for f, g in zip(here, there, strict=True):
+        assert told(g) == pytest.approx(told(f)) and g.refs == 3 and len(g.bad) == 1
+        assert "_tables" not in vars(g.absorbed)  # no level of the larger factor reached the driver
+    d = dummies(rows, ["id", "part"])
+    assert there[0].df == n - np.linalg.matrix_rank(np.column_stack([d, rows.x, rows.same]))
