@@ -6,7 +6,7 @@ the columns of documents; what is written between stages is read again as the ne
 1. toxicity: documents that the classifier rejects go.
 2. line_dedup: lines that repeat earlier ones, or nearly do (from five words on), leave the texts; n_chars follows.
 3. near_duplicates: documents link at a Jaccard similarity of 0.8 or more of their five-word shingles,
-   counted as often as they occur; one document of each component stays, the one with the smallest
+   counted as often as they occur, found by SimHash with multi-index hashing and by MinHash bands; one document of each component stays, the one with the smallest
    doc_id; a null doc_id comes last, and of equal doc_ids the smallest hash of the text comes first.
 4. mixing: sources are taken to their target weights; a document taken several times is several rows.
 5. packing: pieces of token sequences.

@@ -1,14 +1,16 @@
 """Links of near duplicates at a Jaccard similarity of word shingles, for simhash.near_copies().
 
-Two texts at a similarity of 0.8 differ in about ten of 64 fingerprint bits, too many for multi-index hashing, so
-candidates come from MinHash bands here, and the shingles decide. A shingle counts as often as it occurs: the
+Candidates are the links of SimHash fingerprints by multi-index hashing, as op1 has them, and the shingles decide. Two
+texts at a similarity of 0.8 differ in about ten of 64 bits, more than the halves of a fingerprint can find, so MinHash
+bands add candidates to those links. A shingle counts as often as it occurs: the
 elements of a text's set are its shingles' first, second, ... occurrences.
 
-1. Documents with one set of shingles are one class, so copies never meet in pairs.
+1. Documents with one set of shingles are one class, so copies never meet in pairs. Classes whose fingerprints differ
+   in at most two bits are candidates.
 2. Each class has BANDS keys, each of the minima of ROWS hash functions. A pair of similarity s shares a key with
    probability 1 - (1 - s ** ROWS) ** BANDS, at any number of documents: all but 5 in 10 ** 8 at 0.8, more above.
-3. Of the classes with one key, each is compared with the smallest; pairs whose sizes alone rule the similarity out
-   are left aside. Groups that are connected by then are done.
+3. Classes are compared with those that their fingerprints link to, and classes with one key with the smallest of
+   them; pairs whose sizes alone rule the similarity out are left aside. Groups that are connected by then are done.
 4. The others are dealt to blocks of at most SHINGLES shingles and MEMBERS classes, and each pair of blocks is
    compared by one matrix product in a worker. A pair of blocks returns one row a class at most, its link to the
    smallest class that the block's links reach, so no pairs are written, whatever a group's size.
@@ -40,8 +42,8 @@ _rng = np.random.default_rng(SEED)
 _XOR, _ODD, _MIX = (_rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (ROWS * BANDS, ROWS * BANDS, ROWS))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Hashes of the text's shingles, told apart by occurrence; a text of fewer words is one shingle."""
+def hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included; a text of fewer words is one shingle."""
     import xxhash
 
     words = (text or "").encode().lower().split()
@@ -49,7 +51,27 @@ def shingles(text: str | None, width: int) -> np.ndarray:
         return np.zeros(0, "<u8")
     n = max(1, len(words) - width + 1)
     each = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) > width else [b" ".join(words)]
-    found = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, each, repeat(SEED)), "<u8", n))
+    return np.fromiter(map(xxhash.xxh64_intdigest, each, repeat(SEED)), "<u8", n)
+
+
+def majority(found: np.ndarray) -> int:
+    """The fingerprint of a text's hashes, signed: a bit is set where more than half of them have it set."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(found), 1 << 16):
+        bits = np.unpackbits(found[k : k + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64)
+        ones += bits.sum(0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the text's shingles, told apart by occurrence."""
+    return occurrences(hashes(text, width))
+
+
+def occurrences(found: np.ndarray) -> np.ndarray:
+    if not len(found):
+        return found
+    found, n = np.sort(found), len(found)
     starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
     earlier = np.arange(n) - np.repeat(starts, np.diff(starts, append=n))
     return np.sort(found + earlier.astype(np.uint64) * _MIX[1])
@@ -67,18 +89,20 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), class (of equal sets of shingles), n (shingles), keys."""
-    kind = "doc_id long, h1 long, h2 long, class long, n int, keys array<long>"
+    """doc_id, h1, h2 (hashes of the text), class (of equal sets of shingles), n (shingles), print (fingerprint), keys."""
+    kind = "doc_id long, h1 long, h2 long, class long, n int, print long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches):
-            sets = [shingles(x, width) for x in batch.column(3).to_pylist()]
+            found = [hashes(x, width) for x in batch.column(3).to_pylist()]
+            prints = pa.array([majority(x) for x in found], pa.int64())
+            sets = [occurrences(x) for x in found]
             same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             keys = pa.array([bands(x) if len(x) else x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            columns = [*batch.columns[:3], pa.array(same), pa.array([len(x) for x in sets], pa.int32()), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "class", "n", "keys"])
+            columns = [*batch.columns[:3], pa.array(same), pa.array([len(x) for x in sets], pa.int32()), prints, keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "class", "n", "print", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes(), "text").mapInArrow(run, kind)
 
@@ -100,6 +124,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "class long, set array<long>")
 
 
+def print_links(classes: DataFrame) -> DataFrame:
+    """(x, y), x > y: pairs of classes that connect all whose fingerprints (`print`) differ in two bits at most, found by multi-index hashing."""
+    from .simhash import links
+
+    least = written(classes.groupBy("print").agg(F.min("class").alias("low")), "simhash-prints")
+    own = classes.join(least, "print").where("class > low").select(F.col("class").alias("x"), F.col("low").alias("y"))
+    ends = links(least.select("print")).join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y")
+    return own.union(ends.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))).distinct()
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs (x, y) whose sets are similar."""
     pairs = pairs.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y")
@@ -171,20 +205,23 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, h1, h2 (hashes of the text), root (of the component), component_id for each row of docs: the smallest doc_id that similar texts reach, itself included."""
     ship(docs.sparkSession)
     slim = written(classes_of(docs, width), "minhash")
-    classes = slim.groupBy("class").agg(F.min("n").alias("n"), F.min(F.struct("h1", "h2")).alias("text"), F.first("keys").alias("keys"))
+    classes = slim.groupBy("class").agg(F.min("n").alias("n"), F.min(F.struct("h1", "h2")).alias("text"), F.first("print").alias("print"), F.first("keys").alias("keys"))
     classes = written(classes, "minhash-classes")
+    prints = written(print_links(classes.select("class", "print")), "simhash-links")
     keyed = classes.select("class", "n", F.explode("keys").alias("key"))
     keyed = with_groups(keyed, ["key"], [F.min("class").alias("low"), F.max("class").alias("high"), F.min_by("n", "class").alias("m")])
     keyed = written(keyed.where("low < high").drop("high"), "minhash-keys")
-    wanted = classes.join(keyed.select("class").distinct(), "class", "left_semi").select("class", "text.h1", "text.h2")
+    wanted = keyed.select("class").union(prints.select("x")).union(prints.select("y")).distinct()
+    wanted = classes.join(wanted, "class", "left_semi").select("class", "text.h1", "text.h2")
     sets = written(_sets(docs, wanted, width), "minhash-sets")
     fits = lambda n, m: F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]
     star = keyed.where((F.col("class") != F.col("low")) & fits("n", "m")).select(F.col("class").alias("x"), F.col("low").alias("y"))
     # the smallest first: it connects a large group by one pair a member, so that few pairs are left
-    once = written(_similar(star.groupBy("x").agg(F.min("y").alias("y")), sets), "minhash-once")
+    smallest = [x.groupBy("x").agg(F.min("y").alias("y")) for x in (prints, star)]
+    once = written(_similar(smallest[0].union(smallest[1]).distinct(), sets), "minhash-once")
     joined = written(connected_components(once), "minhash-joined")
     ends = joined.select("node", "component")
-    star = star.distinct().join(ends.toDF("x", "of_x"), "x", "left").join(ends.toDF("y", "of_y"), "y", "left")
+    star = star.union(prints).distinct().join(ends.toDF("x", "of_x"), "x", "left").join(ends.toDF("y", "of_y"), "y", "left")
     star = star.where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
     star = written(once.union(_similar(star, sets)), "minhash-star")
     joined = written(connected_components(star), "minhash-joined")
@@ -196,7 +233,7 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     side = written(side.select("key", "class", "n", "of", blocks), "minhash-open")
     rest = written(_block_links(side, sets), "minhash-rest")
     joined = connected_components(star.union(rest))
-    rooted = slim.drop("n", "keys").join(joined, F.col("class") == F.col("node"), "left").select("doc_id", "h1", "h2", F.coalesce("component", "class").alias("root"))
+    rooted = slim.drop("n", "print", "keys").join(joined, F.col("class") == F.col("node"), "left").select("doc_id", "h1", "h2", F.coalesce("component", "class").alias("root"))
     rooted = written(rooted, "minhash-rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", "h1", "h2", "root", "component_id")

@@ -18,9 +18,7 @@ text are read, so further columns can't clash. Texts of any length are hashed wh
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,26 +26,14 @@ from pyspark.sql import functions as F
 from plumbline.operators.components import connected_components
 
 from ._common import slices, table, written
-from ._near import near_copies, text_hashes
+from ._near import hashes, majority, near_copies, text_hashes
 
-SEED, DISTANCE, HEAVY = 42, 2, 64
+DISTANCE, HEAVY = 2, 64
 
 
 def fingerprint(text: str | None, width: int) -> int:
     """As a signed 64-bit number."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) > width else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
-        bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones += bits.sum(0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return majority(hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:

@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import corpus_pipeline as P
+import pyspark.sql.functions as F
 
 from plumbline.llm import _near as M
+from plumbline.llm import simhash as S
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -74,3 +76,42 @@ def test_a_hub_of_many_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in M.near_copies(docs, 5).collect()}
     assert got == {d: 0 if d < 1000 else d for d, _ in rows}
+
+
+def test_fingerprints_link_without_bands(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for g in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for k in range(3):
+            copy = list(words)
+            if k:
+                copy[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+            rows.append((g * 3 + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {d: S.fingerprint(t, 5) & (1 << 64) - 1 for d, t in rows}
+    want = {d: next(e for e in root if (prints[d] ^ prints[e]).bit_count() <= 2) if (root := [e for e in sorted(prints) if e // 3 == d // 3]) else d for d in prints}
+    assert sum(want[d] != d for d in want) > 10
+    real = M.classes_of
+    monkeypatch.setattr(M, "classes_of", lambda *a: real(*a).withColumn("keys", F.array("class")))  # no two classes share a key
+    got = {r["doc_id"]: r["component_id"] for r in M.near_copies(docs, 5).collect()}
+    assert all(got[d] == got[e] for d, e in want.items()) and len(set(got.values())) >= 30
+
+
+def test_print_links_connect_like_all_pairs(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(20)]
+    prints = [b ^ sum(1 << k for k in rng.sample(range(63), rng.randrange(4))) for b in base for _ in range(6)]
+    classes = spark.createDataFrame(list(enumerate(prints + prints[:5])), "class long, print long")
+    ps = dict(enumerate(prints + prints[:5]))
+
+    def roots(pairs):
+        low = {c: c for c in ps}
+        for _ in ps:
+            for x, y in pairs:
+                low[x] = low[y] = min(low[x], low[y])
+        return low
+
+    pairs = [(x, y) for x in ps for y in ps if y < x and (ps[x] ^ ps[y]).bit_count() <= 2]
+    got = [(r["x"], r["y"]) for r in M.print_links(classes).collect()]
+    assert all(x > y for x, y in got) and roots(got) == roots(pairs)
